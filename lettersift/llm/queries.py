@@ -54,6 +54,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lettersift.llm.decontam import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lettersift.llm.simhash import near_duplicates
 
@@ -62,3 +68,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL for the queries that SQL can express."""
+    from lettersift.llm import decontam
+
+    return {"op8_decontamination": decontam.SQL}
