@@ -60,6 +60,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lettersift.llm.substrings import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lettersift.llm.simhash import near_duplicates
 
@@ -72,6 +78,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    from lettersift.llm import decontam
+    from lettersift.llm import decontam, substrings
 
-    return {"op8_decontamination": decontam.SQL}
+    return {"op8_decontamination": decontam.SQL, "op9_substring_dedup": substrings.SQL}
