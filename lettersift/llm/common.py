@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lettersift.llm import textkit as K
 from lettersift.session import sql_partitions
@@ -33,9 +34,8 @@ def map_texts(
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v) for v in (cols | new).values()]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(cols | new))
 
-    order = {f.name: f for f in source.schema}
-    kept = ", ".join(f"`{c}` {order[c].dataType.simpleString()}" for c in carry)
-    return source.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
+    kinds = {f.name: f.dataType for f in source.schema}
+    return source.mapInArrow(run, StructType([StructField(c, kinds[c]) for c in carry] + StructType.fromDDL(schema).fields))
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "left") -> DataFrame:

@@ -224,6 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str =
     return fit(got[list(FEATURES)].to_numpy(float), y, np.where(y == 1, weight.get(1, 1.0), weight.get(0, 1.0)))
 
 
+def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
+    return sigmoid(model.logits(features(texts)))
+
+
 def classify(docs: DataFrame, model: Model, carry: list[str], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Score every whole text by bin additions: (carry..., score, predicted).
 
@@ -232,7 +236,7 @@ def classify(docs: DataFrame, model: Model, carry: list[str], text: str = "text"
     """
 
     def fn(_, texts):
-        s = sigmoid(model.logits(features(texts)))
+        s = score_texts(model, texts)
         return {"score": s, "predicted": (s >= threshold).astype(np.int32)}
 
     return map_texts(docs, text, "score double, predicted int", fn, carry)
