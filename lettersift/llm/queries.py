@@ -78,6 +78,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    from lettersift.llm import decontam, substrings
+    from lettersift.llm import decontam, rules, substrings, urls
 
-    return {"op8_decontamination": decontam.SQL, "op9_substring_dedup": substrings.SQL}
+    return {"op2_url_filter": urls.oracle(), "op4_quality_rules": rules.oracle(), "op8_decontamination": decontam.SQL, "op9_substring_dedup": substrings.SQL}

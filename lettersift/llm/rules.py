@@ -194,3 +194,50 @@ def adaptive_rules(
     return out.select(
         F.col("_id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", ok.alias("kept")
     )
+
+
+def oracle(reach: int = REACH, least_rows: int = LEAST_ROWS) -> str:
+    """DuckDB SQL for ``adaptive_rules``."""
+    rates = {"symbol_rate": "1000 * n_symbols // greatest(n_words, 1)", "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)",
+             "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "word_length": "100 * word_chars // greatest(n_words, 1)"}
+    rate = ", ".join(f"{e} as {m}" for m, e in rates.items())
+    long = " union all ".join(f"select lang, source, '{m}' as metric, {m} as x from good" for m in METRICS)
+    slack = "case metric " + " ".join(f"when '{m}' then {s}" for m, (_, _, s) in METRICS.items()) + " end"
+
+    def fence(name: str, keys: str) -> str:
+        group = f"{keys}, metric" if keys else "metric"
+        part = f"partition by {group}"
+        return f"""
+{name}_q as (select {group}, max(total) as n_rows, min(bucket) filter (where upto >= total * 0.25) as q1, min(bucket) filter (where upto >= total * 0.75) as q3
+    from (select {group}, bucket, sum(n) over ({part} order by bucket) as upto, sum(n) over ({part}) as total
+          from (select {group}, bucket, sum(n) as n from sketch group by {group}, bucket)) group by {group}),
+{name} as (select {group}, n_rows, q1 - {reach} * (q3 - q1) - {slack} as low, q3 + {reach} * (q3 - q1) + {slack} as high from {name}_q)"""
+
+    verdicts = []
+    for m, (above, below, _) in METRICS.items():
+        verdicts += [f"coalesce({m} <= {m}_high, true)"] if above else []
+        verdicts += [f"coalesce({m} >= {m}_low, true)"] if below else []
+    bounds = ", ".join(f"max({c}) filter (where metric = '{m}') as {m}_{c}" for m in METRICS for c in ("low", "high"))
+    return rf"""
+with w as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+lines as (select r, l, count(*) as n from (select r, unnest(string_split(text, chr(10))) as l from w) where regexp_matches(l, '[^\x20\x09-\x0D]') group by r, l),
+line as (select r, sum(n) as n_lines, sum(n - 1) as n_dup_lines from lines group by r),
+tri as (select r, i, array_to_string(w[i : i + 2], ' ') as g from (select r, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 3)),
+many as (select r, g from tri group by r, g having count(*) > 1),
+rep as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 3)) as p from tri semi join many using (r, g)) group by r),
+m as (select r, doc_id, lang, source, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+      cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines,
+      cast(coalesce(n, 0) as bigint) as n_repeat_words from w left join line using (r) left join rep using (r)),
+m2 as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {rate} from m),
+good as (select * from m2 where not base_failed),
+long as ({long}),
+sketch as (select lang, source, metric, (x >> greatest(length(bin(x)) - 5, 0)) << greatest(length(bin(x)) - 5, 0) as bucket, count(*) as n from long group by all),
+{fence("one", "lang, source")}, {fence("two", "lang")}, {fence("three", "")},
+picked as (select o.lang, o.source, o.metric,
+    case when o.n_rows >= {least_rows} then o.low when t.n_rows >= {least_rows} then t.low else a.low end as low,
+    case when o.n_rows >= {least_rows} then o.high when t.n_rows >= {least_rows} then t.high else a.high end as high
+  from one o left join two t on o.lang is not distinct from t.lang and o.metric = t.metric left join three a on o.metric = a.metric),
+bound as (select lang, source, {bounds} from picked group by lang, source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {" and ".join(verdicts)} as kept
+from m2 left join bound on m2.lang is not distinct from bound.lang and m2.source is not distinct from bound.source
+"""

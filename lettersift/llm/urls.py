@@ -113,3 +113,23 @@ def filter_urls(
         run, f"_id {kind}, host string, path string, rule string, verdict string, n_strict int, n_soft int, n_soft_distinct int"
     )
     return out.withColumnRenamed("_id", id)
+
+
+def oracle(rules=RULES, strict=STRICT, soft=SOFT, limit: float = LIMIT) -> str:
+    """DuckDB SQL for ``filter_urls``: a bounded hit is a maximal run of letters and digits that is a term."""
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    listed = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in rules)
+    quoted = lambda ts: "[" + ", ".join(f"'{t}'" for t in ts) + "]"
+    weight = " + ".join(f"{w} * list_contains(light, '{t}')::int" for t, w in soft.items())
+    return rf"""
+with rule_table(v, r, h, p) as (values {listed}),
+cut as (select row_number() over () as k, page_id, url, case when contains(url, '://') then substring(url, strpos(url, '://') + 3) else '' end as rest from pages),
+parts as (select k, page_id, {fold.format("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') as path,
+          regexp_extract_all({fold.format("coalesce(url, '')")}, '[a-z0-9]+') as runs from cut),
+hits as (select *, list_filter(runs, lambda x: list_contains({quoted(strict)}, x)) as hard, list_filter(runs, lambda x: list_contains({quoted(soft)}, x)) as light from parts),
+fits as (select k, r, v, row_number() over (partition by k order by length(r) desc) as n from parts, rule_table where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)),
+best as (select k, r, v from fits where n = 1)
+select page_id, host, path, r as rule, coalesce(v, case when len(hard) > 0 or ({weight}) >= {limit} then 'block' else 'allow' end) as verdict,
+       cast(len(hard) as integer) as n_strict, cast(len(light) as integer) as n_soft, cast(len(list_distinct(light)) as integer) as n_soft_distinct
+from hits left join best using (k)
+"""
