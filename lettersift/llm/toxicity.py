@@ -20,7 +20,7 @@ TRAIN_ROWS = 4000
 TOXIC_BYTES, ORDINARY_BYTES = 1200, 32_000
 #: a toxic string has so many surroundings at least, and so large a log ratio of rates
 RECURS, CONTRAST = 4, 4.2
-LEVEL = 1
+LEVEL = 9
 #: each byte is written as so many, so that a match of few letters shows in the length
 DILATION = 4
 THRESHOLD = 0.3
@@ -30,7 +30,9 @@ _MEMO = 1 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: the worst windows of a text that are features
-WORST = 4
+WORST, DENSEST = 4, 2
+#: tenths of distance for each byte of a window that are counted
+DENSE = (10.0, 14.0)
 LONGEST = 64
 
 
@@ -107,26 +109,30 @@ class Distance:
 
 
 def features(tool: Distance, cuts: list[float], column: pa.Array) -> np.ndarray:
-    """A row a text: its WORST largest distances, and how many windows reach each cut (log)."""
+    """A row a text: the largest distances, also for the window's length, and how many windows reach the cuts."""
     x = K.Texts(column, K.LOWER)
     a, b, doc = x.spans(_LETTER)
     d = tool.windows(x, a, b).astype(float)
-    out = np.zeros((x.n, WORST + len(cuts) + 1))
+    per = 10 * d / (b - a + 2)
     n = np.bincount(doc, minlength=x.n)
-    order = np.lexsort((-d, doc))
     begin = np.cumsum(n) - n
-    for k in range(WORST):
-        has = n > k
-        out[has, k] = np.maximum(0, d[order[begin[has] + k]])
-    for k, c in enumerate(cuts):
-        out[:, WORST + k] = np.log1p(np.bincount(doc[d >= c], minlength=x.n))
-    out[:, -1] = np.log1p(n)
-    return out
+    out = []
+    for v, most in ((d, WORST), (per, DENSEST)):
+        order = np.lexsort((-v, doc))
+        for k in range(most):
+            c = np.zeros(x.n)
+            has = n > k
+            c[has] = np.maximum(0, v[order[begin[has] + k]])
+            out.append(c)
+    out += [np.log1p(np.bincount(doc[d >= c], minlength=x.n)) for c in cuts]
+    out += [np.log1p(np.bincount(doc[per >= c], minlength=x.n)) for c in DENSE]
+    return np.column_stack([*out, np.log1p(n)])
 
 
 def _design(f: np.ndarray) -> np.ndarray:
-    f = f / np.array([8.0] * WORST + [1.0] * (f.shape[1] - WORST))
-    return np.column_stack([f, f[:, :2] ** 2, f[:, :1] * f[:, -1:]])
+    top = WORST + DENSEST
+    f = np.column_stack([f[:, :WORST] / 8, f[:, WORST:top] / 5, f[:, top:]])
+    return np.column_stack([f, f[:, :2] ** 2, f[:, WORST:top] ** 2, f[:, :1] * f[:, -1:]])
 
 
 def score_features(f: np.ndarray, weights: list[float]) -> np.ndarray:
@@ -241,7 +247,7 @@ def fit(rows: list[tuple[int, str]], weight: dict[int, float] | None = None) ->
             for i, j in K.chunks(column):
                 x.append(features(tool, model.cuts, column.slice(i, j - i)))
                 y.append(np.full(j - i, float(c)))
-    width = _design(np.zeros((1, WORST + len(model.cuts) + 1))).shape[1]
+    width = _design(np.zeros((1, WORST + DENSEST + len(model.cuts) + len(DENSE) + 1))).shape[1]
     y = np.concatenate(y) if y else np.zeros(0)
     if 0 < y.sum() < len(y):
         w = np.where(y == 1, weight.get(1, 1.0), weight.get(0, 1.0))
