@@ -33,7 +33,6 @@ _LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 WORST, DENSEST = 4, 2
 #: tenths of distance for each byte of a window that are counted
 DENSE = (10.0, 14.0)
-LONGEST = 64
 
 
 @dataclass
@@ -183,7 +182,7 @@ def contexts(texts: list[str]) -> Contexts:
 def _pieces(seen: Contexts) -> dict[bytes, int]:
     """Letter strings of 4 to 12 bytes within words between spaces: number of contexts."""
     word, n = np.unique(seen.word, return_counts=True)
-    words = [b" " + seen.names[int(h)][:LONGEST] + b" " for h in word]
+    words = [b" " + seen.names[int(h)] + b" " for h in word]
     x = K.Texts(pa.array(words, pa.large_binary()))
     size = x.at[1:] - x.at[:-1]
     out: dict[bytes, int] = {}
