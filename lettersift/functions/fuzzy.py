@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -25,7 +27,8 @@ def as_bytes(c: Column) -> Column:
 def fuzzy(token: Column, word: str, errors: int) -> Column:
     """Some substring of ``token`` is within ``errors`` edits of ``word``, in built-in expressions.
 
-    Tokens too short to reach it fail by length alone.
+    Tokens too short to reach it fail by length alone, and those that hold none of
+    errors + 1 pieces of the word by that: so many edits leave one piece whole.
     """
     w = word.encode().decode("latin-1")
     n = len(w)
@@ -38,7 +41,10 @@ def fuzzy(token: Column, word: str, errors: int) -> Column:
     near = lambda s: F.exists(
         F.sequence(F.lit(n - errors), F.lit(n + errors)), lambda m: F.levenshtein(F.substring(b, s, m), F.lit(w), errors) >= 0
     )
-    return (F.length(b) >= n - errors) & F.exists(starts, near)
+    cut = [round(i * n / (errors + 1)) for i in range(errors + 2)]
+    pieces = {w[i:j] for i, j in zip(cut, cut[1:])}
+    holds = reduce(Column.__or__, [b.contains(p) for p in sorted(pieces)])
+    return (F.length(b) >= n - errors) & holds & F.exists(starts, near)
 
 
 def anchored_distances(tokens: list[bytes], word: bytes) -> np.ndarray:
