@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lettersift.llm import textkit as K
 from lettersift.llm.common import held_out, map_texts
+from lettersift.session import stored
 
 #: training rows of each language, at most about
 TRAIN_ROWS = 8000
@@ -22,8 +24,10 @@ ORDERS = (5, 4, 3, 2)
 BACKOFF = float(np.log(0.4))
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-#: longest word that the training table keeps; longer ones are scored by their n-grams
+#: longest word in bytes that the table of words keeps; longer ones teach and are scored by their n-grams
 LONGEST = 48
+#: sums of n-gram weights are kept in whole parts of so much, so that they don't depend on the order of adding
+_PARTS = 1 << 16
 
 
 @dataclass
@@ -50,7 +54,7 @@ def train_rows(docs: DataFrame, bound: int, id: str, text: str, lang: str, keep:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(lang, word, n): partial counts in the scan, summed after."""
+    """(lang, word, n): partial counts in the scan, summed after; the empty word stands for the language itself, with n 0."""
 
     def count(batches):
         for batch in batches:
@@ -58,32 +62,76 @@ def word_counts(rows: DataFrame) -> DataFrame:
             for i, j in K.chunks(batch.column(1)):
                 x = K.Texts(batch.column(1).slice(i, j - i), K.LOWER)
                 a, b, doc = x.spans(_LETTER)
-                fits = b - a <= LONGEST
-                a, b, doc = a[fits], b[fits], doc[fits]
                 names = langs.slice(i, j - i).dictionary_encode()
                 own = np.asarray(names.indices)[doc].astype(np.uint64)
                 _, first, n = np.unique(K.mix(x.hashes(a, b) + own * K.PLACE[3]), return_index=True, return_counts=True)
                 raw = x.buf.tobytes()
                 words = [raw[a[k] : b[k]] for k in first.tolist()]
+                every = np.arange(len(names.dictionary))
                 yield pa.RecordBatch.from_arrays(
-                    [names.dictionary.take(pa.array(own[first].astype(np.int64))), pa.array(words, pa.binary()), pa.array(n)],
+                    [
+                        names.dictionary.take(pa.array(np.concatenate([own[first].astype(np.int64), every]))),
+                        pa.array(words + [b""] * len(every), pa.binary()), pa.array(np.concatenate([n, 0 * every])),
+                    ],
                     names=["lang", "word", "n"],
-                )
+                )
 
     return rows.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _table(hashes: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the ``most`` usual entries of each language, with log rates by language."""
+def _gram_sums(words: pa.Array, lang: np.ndarray, n: np.ndarray):
+    """For each order: its length, and hash, language and summed weight of the distinct n-grams of some types of words."""
+    x = K.Texts(words)
+    x, a, b = _between_spaces(x.buf, x.at[:-1], x.at[1:])
+    # types of words count by the log of their number, so that a few usual words don't rule the n-grams
+    weight = np.rint((1 + np.log(n)) * _PARTS)
+    for k in ORDERS:
+        at, word = grams_of(x, a, b, k)
+        h = x.hashes(at, at + k)
+        own = lang[word]
+        _, first, inv = np.unique(K.mix(h + own.astype(np.uint64) * K.PLACE[3]), return_index=True, return_inverse=True)
+        yield k, h[first], own[first], np.bincount(inv, weight[word], len(first)).astype(np.int64)
+
+
+def gram_counts(types: DataFrame, langs: list[str]) -> DataFrame:
+    """(k, lang, h, n): weight of each n-gram over all types of words, whatever their length or number; ``lang`` is a place in ``langs``."""
+
+    def sums(held):
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        lang = np.array([langs.index(v) for v in t.column(0).dictionary_encode().dictionary.to_pylist()], np.int64)[np.asarray(t.column(0).dictionary_encode().indices)]
+        for i, j in K.chunks(t.column(1)):
+            for k, h, own, n in _gram_sums(t.column(1).slice(i, j - i), lang[i:j], np.asarray(t.column(2))[i:j]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(own.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["k", "lang", "h", "n"])
+
+    def count(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= K.CHUNK:
+                yield from sums(held)
+                held, size = [], 0
+        if size:
+            yield from sums(held)
+
+    return types.filter("n > 0").select("lang", "word", "n").mapInArrow(count, "k int, lang int, h long, n long").groupBy("k", "lang", "h").agg(F.sum("n").alias("n"))
+
+
+def _table(hashes: np.ndarray, lang: np.ndarray, n: np.ndarray, total: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the ``most`` usual entries of each language, or of all, with log rates by language.
+
+    ``total``: of each language, also of what isn't kept.  What a language hasn't
+    has the same rate in all, so that one with little text doesn't draw the
+    words of others.
+    """
     u, inv = np.unique(hashes, return_inverse=True)
-    count = np.zeros((len(u), langs))
+    count = np.zeros((len(u), len(total)))
     np.add.at(count, (inv, lang), n)
-    keep = np.zeros(len(u), bool)
-    for k in range(langs):
+    keep = np.full(len(u), most is None)
+    for k in range(len(total) if most is not None else 0):
         order = np.lexsort((u, -count[:, k]))[:most]
-        keep[order[count[order, k] > 1]] = True
-    total = np.maximum(1, count.sum(0))
-    rates = np.log((count[keep] + 0.1) / total)
+        keep[order[count[order, k] > 0]] = True
+    rates = np.log(count[keep] / np.maximum(1, total) + 0.1 / max(1, total.max(initial=0)))
     return u[keep], rates.astype(np.float32)
 
 
@@ -107,21 +155,30 @@ def _between_spaces(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[K.Te
     return x, at, at + size
 
 
+def _model(langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    floor = np.array([t[1].min(0) if len(t[1]) else np.zeros(len(langs)) for t in tables]).min(0) if langs else np.zeros(0)
+    return Model(langs, tables, floor)
+
+
+def _word_table(words: pa.Array, lang: np.ndarray, n: np.ndarray, total: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    x = K.Texts(words)
+    x, a, b = _between_spaces(x.buf, x.at[:-1], x.at[1:])
+    return _table(x.hashes(a, b), lang, n, total, most)
+
+
 def fit(counts: list[tuple[str, bytes, int]], words: int = WORDS, grams: int = GRAMS) -> Model:
+    """The model of (lang, word, n) counts, here; ``train`` counts the n-grams on the executors."""
     langs = sorted({r[0] for r in counts})
+    counts = [r for r in counts if r[2] > 0]
     lang = np.array([langs.index(r[0]) for r in counts], np.int64)
     n = np.array([r[2] for r in counts], np.int64)
-    size = np.array([len(r[1]) for r in counts], np.int64)
-    raw = np.frombuffer(b"".join(r[1] for r in counts), np.uint8)
-    b = np.cumsum(size)
-    x, a, b = _between_spaces(raw, b - size, b)
-    tables = [_table(x.hashes(a, b), lang, n, len(langs), words)]
-    for k in ORDERS:
-        at, word = grams_of(x, a, b, k)
-        # types of words count by the log of their number, so that a few usual words don't rule the n-grams
-        tables.append(_table(x.hashes(at, at + k), lang[word], 1 + np.log(n[word]), len(langs), grams))
-    floor = np.array([t[1].min(0) if len(t[1]) else np.zeros(len(langs)) for t in tables]).min(0) if langs else np.zeros(0)
-    return Model(langs, tables, floor)
+    names = pa.array([r[1] for r in counts], pa.binary())
+    usual = np.array([r[2] > 1 and len(r[1]) <= LONGEST for r in counts], bool)
+    total = np.bincount(lang, n, len(langs))
+    tables = [_word_table(names.filter(pa.array(usual)), lang[usual], n[usual], total, words)]
+    for _, h, own, m in _gram_sums(names, lang, n):
+        tables.append(_table(h, own, m / _PARTS, np.bincount(own, m / _PARTS, len(langs)), grams))
+    return _model(langs, tables)
 
 
 def _lookup(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,11 +249,30 @@ def _has_letter(column: pa.Array, n: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", keep: Column | None = None, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on about ``rows`` rows of each language; languages beyond the table bound lose rare entries only."""
-    counts = word_counts(train_rows(docs, rows, id, text, lang, keep))
-    # words seen once carry no rate of their own; the bound on rows bounds the rest
-    got = counts.filter("n > 1").toArrow()
-    return fit(list(zip(got["lang"].to_pylist(), got["word"].to_pylist(), got["n"].to_pylist())))
+    """Fit on about ``rows`` rows of each language: all languages of the rows, and the n-grams of all their words.
+
+    Words longer than LONGEST and those seen once, which carry no rate of their
+    own, are left out of the table of words only.  In languages written without
+    spaces these are whole clauses and nearly all there is.
+    """
+    types = stored(word_counts(train_rows(docs, rows, id, text, lang, keep)))
+    said = {r["lang"]: r["n"] for r in types.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language
+    langs = sorted(said)
+    got = types.filter((F.col("n") > 1) & (F.length("word") <= LONGEST)).toArrow().combine_chunks()
+    place = {k: i for i, k in enumerate(langs)}
+    own = np.array([place[v] for v in got["lang"].to_pylist()], np.int64)
+    word = pa.concat_arrays(got["word"].chunks) if got.num_rows else pa.array([], pa.binary())
+    tables = [_word_table(word, own, got["n"].to_numpy(), np.array([said[k] for k in langs], float), WORDS)]
+    grams = stored(gram_counts(types, langs))
+    sums = {(r["k"], r["lang"]): r["n"] for r in grams.groupBy("k", "lang").agg(F.sum("n").alias("n")).collect()}  # a row a language and order
+    best = F.row_number().over(Window.partitionBy("k", "lang").orderBy(F.col("n").desc(), "h"))
+    chosen = grams.withColumn("_r", best).filter(F.col("_r") <= GRAMS).select("k", "h").distinct()
+    kept = stored(grams.join(chosen, ["k", "h"], "left_semi"))
+    for k in ORDERS:
+        t = kept.filter(F.col("k") == k).select("lang", "h", "n").toArrow()
+        total = np.array([sums.get((k, i), 0) for i in range(len(langs))]) / _PARTS
+        tables.append(_table(t["h"].to_numpy().view(np.uint64), t["lang"].to_numpy().astype(np.int64), t["n"].to_numpy() / _PARTS, total))
+    return _model(langs, tables)
 
 
 def identify(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
