@@ -54,8 +54,8 @@ def update(index: Index, found: DataFrame, read, fast: bool = False) -> Index:
     only appended; threads are computed again only if something was added.
     """
     messages = index.messages
-    files = found.filter("kind = 'FILE'").withColumnRenamed("kind", "type")
-    live = messages.filter("type = 'FILE'")
+    files = found.filter("kind in ('FILE', 'IMAP')").withColumnRenamed("kind", "type")
+    live = messages.filter("type in ('FILE', 'IMAP')")
     new_files, dead_files = changes(live, files, ["type", "path"], fast)
     boxes = found.filter("kind = 'MBOX'")
     touched = boxes.join(index.mboxes.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti")
@@ -78,7 +78,7 @@ def update(index: Index, found: DataFrame, read, fast: bool = False) -> Index:
     )
     # what of the read mailboxes is stored and sound
     sound = kept.filter("type = 'MBOX'").select("path", "ordinal")
-    fresh = parsed.filter("type = 'FILE'").unionByName(box_rows.join(sound, ["path", "ordinal"], "left_anti"))
+    fresh = parsed.filter("type in ('FILE', 'IMAP')").unionByName(box_rows.join(sound, ["path", "ordinal"], "left_anti"))
     old_ids = index.mboxes.agg(F.coalesce(F.max("mbox_id"), F.lit(-1))).first()[0]
     unknown = boxes.select("path").join(index.mboxes.select("path"), "path", "left_anti")
     names = index.mboxes.select("mbox_id", "path").unionByName(dense_numbers(unknown, "path", "mbox_id", old_ids + 1).select("mbox_id", "path"))

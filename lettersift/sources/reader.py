@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lettersift.schemas import PARSED
 from lettersift.sources.folders import Found
+from lettersift.sources.imap import Server
 from lettersift.sources.mail import file_flags, parse_message
 from lettersift.sources.mailbox import decompress, split_mailbox
 
@@ -26,7 +27,12 @@ def _row(kind: str, path: str, mtime: int, data: bytes, ordinal: int | None, off
     }
 
 
-def messages_of(kind: str, path: str, mtime: int) -> Iterator[dict]:
+def messages_of(kind: str, path: str, mtime: int, server: Server | None = None) -> Iterator[dict]:
+    if kind == "IMAP":
+        data = (server or Server(None)).message(path)
+        if data is not None:
+            yield _row(kind, path, mtime, data, None, None)
+        return
     with open(path, "rb") as f:
         data = decompress(path, f.read())
     if kind == "FILE":
@@ -40,23 +46,26 @@ def files_frame(spark: SparkSession, found: list[Found]) -> DataFrame:
     return spark.createDataFrame([(f.kind, f.path, f.mtime, f.size) for f in found], _FILES)
 
 
-def read_mail(files: DataFrame) -> DataFrame:
+def read_mail(files: DataFrame, imap: dict[str, str] | None = None) -> DataFrame:
     """PARSED rows of (kind, path, mtime, size) rows; paths must be readable on every executor.
 
     A message that can't be parsed keeps its row, without headers and parts.  A
     mailbox is split where it is read; it is one task, as its repair is
-    sequential.
+    sequential.  ``imap``: how to reach the server, for messages of kind IMAP;
+    those that are gone when they are fetched have no row.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        server = Server(imap)
         for batch in batches:
             rows: list[dict] = []
             for r in batch.itertuples(index=False):
-                for m in messages_of(r.kind, r.path, r.mtime):
+                for m in messages_of(r.kind, r.path, r.mtime, server):
                     rows.append(m)
                     if len(rows) == 256:
                         yield pd.DataFrame(rows, columns=PARSED.names)
                         rows = []
             yield pd.DataFrame(rows, columns=PARSED.names)
+        server.close()
 
     return files.mapInPandas(run, PARSED)
