@@ -1,4 +1,4 @@
-"""Exact substring dedup by prefix-partitioned suffix trees over words."""
+"""Substring dedup by a hash join on windows of words, partitioned by prefixes; no suffix tree is built."""
 
 from __future__ import annotations
 
@@ -156,7 +156,7 @@ def _by(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]
 
 
 def _decide(rows: DataFrame, decide: Callable, parts: int) -> DataFrame:
-    """Bring each group's subtree together and tell the chunks which of their places it decides.
+    """Bring each group's window hashes together, sort them and tell the chunks which of their places it decides.
 
     ``decide(node, chunk, rank)`` marks the entries, sorted, with their node
     number; the other kinds of rows pass.
@@ -248,14 +248,14 @@ def repeated_places(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """(keyed texts, places): where windows start that a document with a smaller id has too.
 
     1. Each window's minimiser, about a fifth as many as words, goes to its hash
-       group, as 48 bits; windows whose minimiser is in no other document have
-       leaves right below shallow nodes and are out.
-    2. The other suffixes go to the subtree of their prefix.  A prefix grows
+       group, as 48 bits; windows whose minimiser is in no other document can't
+       repeat and are out.
+    2. The other windows go to the group of their prefix.  A prefix grows
        word by word until it begins a bounded share of all suffixes, so that
-       groups have one size however usual a word is.  In a subtree's sorted
-       suffixes an internal node at depth WINDOW is a run of equal 80-bit window
-       keys; all its suffixes but those of its least document are repeats, and
-       consecutive ones join to the maximal repeats.
+       groups have one size however usual a word is.  In a group the 80-bit
+       hashes of whole windows are sorted, not the suffixes; of a run of equal
+       ones all but those of its least document are repeats, and consecutive
+       ones join to the maximal repeats.
     """
     spark = docs.sparkSession
     parts = sql_partitions(spark)
