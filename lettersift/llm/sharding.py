@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lettersift.operators.numbering import dense_numbers
 from lettersift.session import stored
 
 #: bins of one histogram round of the weighted median search
@@ -17,10 +18,18 @@ _TOP = (1 << 63) - 1
 HOT = 1000
 
 
-def _prefix_number(c: Column) -> Column:
-    """The first 7 bytes of a string as an integer in the same order; null is 0."""
-    padded = F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 14), 14, "0")
-    return F.coalesce(F.conv(padded, 16, 10).cast("long"), F.lit(0))
+def _name_numbers(rows: DataFrame, name: str, number: str, n_rows: int) -> DataFrame:
+    """Adds ``number``: the place from 1 of a row's ``name`` among the distinct names, by their bytes; null is 0.
+
+    Names with over 1/HOT of the rows join by broadcast.
+    """
+    names = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_n"))
+    names = stored(dense_numbers(names, name, number, 1))
+    hot = names.filter(F.col("_n") > max(1, n_rows / HOT)).select(name, number)  # under HOT rows
+    cold = names.filter(F.col("_n") <= max(1, n_rows / HOT)).select(name, number)
+    rest = rows.filter(F.col(name).isNotNull()).join(F.broadcast(hot.select(name)), name, "left_anti").join(cold, name)
+    none = rows.filter(F.col(name).isNull()).withColumn(number, F.lit(0).cast("long"))
+    return rows.join(F.broadcast(hot), name).unionByName(rest).unionByName(none)
 
 
 def _split(rows: DataFrame, nodes: dict[int, tuple[str, float, float, int]], tie: str) -> dict[int, tuple[int, int]]:
@@ -86,7 +95,8 @@ def shard(
     ``shards`` leaves, or as many as bring them to ``target_bytes``.  Nodes are
     split, all of a level together, at the weighted median of the dimension
     (language, source, log size, checksum) that is widest in them: the one with
-    the largest variance by bytes against that of all rows.  The median comes
+    the largest variance by bytes against that of all rows.  Languages and
+    sources are numbered by the order of their whole names.  The median comes
     from histograms with partial sums; nothing but one row per node reaches the
     driver.
 
@@ -106,8 +116,8 @@ def shard(
             (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("_size"),
             F.crc32(t.cast("binary")).alias("_crc"),
             F.coalesce(F.md5(t.cast("binary")), F.lit("")).alias("_g"),
-            _prefix_number(F.col(f"`{lang}`")).alias("_lang"),
-            _prefix_number(F.col(f"`{source}`")).alias("_source"),
+            F.col(f"`{lang}`").cast("string").alias("_lang"),
+            F.col(f"`{source}`").cast("string").alias("_source"),
         ).withColumn("_rid", F.monotonically_increasing_id())
     )
     total, n_rows = thin.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*")).first()
@@ -121,9 +131,10 @@ def shard(
     rows = thin.join(F.broadcast(heavy), "_g", "left")
     tie = F.xxhash64(F.col("_g"), F.when(F.col("_cut_up"), F.struct("_id", "_rid"))).bitwiseAND(F.lit(_TOP))
     rows = rows.withColumn("_tie", tie)
+    placed_names = _name_numbers(_name_numbers(rows, "_lang", "_nlang", n_rows), "_source", "_nsource", n_rows)
     units = stored(
-        rows.groupBy("_g", "_tie").agg(
-            F.sum("_size").alias("_bytes"), F.min("_lang").alias("_dlang"), F.min("_source").alias("_dsource"),
+        placed_names.groupBy("_g", "_tie").agg(
+            F.sum("_size").alias("_bytes"), F.min("_nlang").alias("_dlang"), F.min("_nsource").alias("_dsource"),
             F.floor(F.log2(F.max("_size")) * (1 << 16)).cast("long").alias("_dsize"),
             F.max(F.coalesce("_crc", F.lit(0))).cast("long").alias("_dcrc"),
         )
