@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,9 +38,10 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     """The stored index, a row for each segment of about a megabyte of whole texts.
 
     Columns: ``segment``, ``ids`` and ``sizes`` (words) of its documents;
-    ``terms``: sorted 64-bit hashes of its words; ``counts``: postings of each
-    term; ``postings``: the words' places in the segment, ascending within each
-    term.  Documents are what a segment is partitioned by, so neither building
+    ``terms`` and ``widths``: its distinct words and their bytes; ``counts``:
+    postings of each term; ``postings``: the words' places in the segment,
+    ascending within each term.  Words are stored and looked up as they are, so
+    no two are taken for one.  Documents are what a segment is partitioned by, so neither building
     nor intersecting moves postings.
     """
     kind = docs.schema[id].dataType.simpleString()
@@ -50,23 +52,23 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
             for i, j in K.chunks(batch.column(1)):
                 x = K.Texts(batch.column(1).slice(i, j - i), K.LOWER)
                 a, b, doc = x.spans(K.ALNUM)
-                h = x.hashes(a, b)
-                order = np.argsort(h, kind="stable")
-                s = h[order]
-                first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-                counts = np.diff(np.r_[first, len(s)])
+                ids, values = x.names(a, b)
+                counts = np.bincount(ids, minlength=len(values))
+                used = np.flatnonzero(counts)  # the others are what stands between words
+                terms = values.take(pa.array(used))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(batch.schema.field(0).type)),
                         pa.array([np.bincount(doc, minlength=x.n)], pa.list_(pa.int64())),
-                        pa.array([s[first].tobytes()], pa.binary()),
-                        pa.array([_planes(counts)], pa.binary()),
-                        pa.array([_planes(order)], pa.binary()),
+                        pa.array([b"".join(terms.to_pylist())], pa.binary()),
+                        pa.array([_planes(pc.binary_length(terms).to_numpy(zero_copy_only=False))], pa.binary()),
+                        pa.array([_planes(counts[used])], pa.binary()),
+                        pa.array([_planes(np.argsort(ids, kind="stable"))], pa.binary()),
                     ],
-                    names=["ids", "sizes", "terms", "counts", "postings"],
+                    names=["ids", "sizes", "terms", "widths", "counts", "postings"],
                 )
 
-    built = thin.mapInArrow(run, f"ids array<{kind}>, sizes array<long>, terms binary, counts binary, postings binary")
+    built = thin.mapInArrow(run, f"ids array<{kind}>, sizes array<long>, terms binary, widths binary, counts binary, postings binary")
     return stored(built.withColumn("segment", F.monotonically_increasing_id()))
 
 
@@ -74,12 +76,12 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 class Phrases:
     """Distinct windows of a block of test items.
 
-    ``terms``: hashes of all their words, sorted; ``word`` (windows x width):
+    ``terms``: all their words; ``word`` (windows x width):
     term numbers, -1 beyond a short window; ``size``; ``item``: pairs (window,
     item number), sorted by window, as ``item_at`` slices.
     """
 
-    terms: np.ndarray
+    terms: pa.Array
     word: np.ndarray
     size: np.ndarray
     item: np.ndarray
@@ -96,7 +98,7 @@ def phrases(texts: list[str | None], window: int = WINDOW, block: int = BLOCK) -
     """Windows of the test items, in blocks; item numbers count through ``texts``."""
     x = K.Texts(pa.array(texts, pa.large_string()), K.LOWER)
     a, b, doc = x.spans(K.ALNUM)
-    h = x.hashes(a, b)
+    h, values = x.names(a, b)
     n = np.bincount(doc, minlength=x.n)
     begin = np.cumsum(n) - n
     size = np.minimum(n, window)
@@ -109,48 +111,56 @@ def phrases(texts: list[str | None], window: int = WINDOW, block: int = BLOCK) -
         place = st[:, None] + np.arange(window)
         inside = np.arange(window) < sz[:, None]
         rows = np.where(inside, h[np.minimum(place, len(h) - 1)], 0)
-        key = np.column_stack([rows, sz.astype(np.uint64)])
+        key = np.column_stack([rows, sz])
         _, first, inv = np.unique(key, axis=0, return_index=True, return_inverse=True)
         pair = np.unique(np.column_stack([inv.ravel(), it]), axis=0)
         terms = np.unique(rows[inside])
         word = np.where(inside[first], np.searchsorted(terms, rows[first]), -1)
-        yield Phrases(terms, word, sz[first], pair[:, 1], np.searchsorted(pair[:, 0], np.arange(len(first) + 1)))
+        yield Phrases(values.take(pa.array(terms)), word, sz[first], pair[:, 1], np.searchsorted(pair[:, 0], np.arange(len(first) + 1)))
 
 
-def frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """Postings of each of the (sorted) terms in the whole index; reads two of its columns."""
+def _found(p_terms: pa.Array, terms: bytes, widths: bytes) -> np.ndarray:
+    """The place of each test term among a segment's terms, -1 if it isn't there."""
+    cuts = np.zeros(len(widths) // 4 + 1, np.int64)
+    np.cumsum(_from_planes(widths), out=cuts[1:])
+    own = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(terms)])
+    return pc.fill_null(pc.index_in(p_terms.cast(pa.large_binary()), value_set=own), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def frequencies(index: DataFrame, terms: pa.Array) -> np.ndarray:
+    """Postings of each of the terms in the whole index; reads three of its columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine = np.frombuffer(t, np.uint64)
-                at = np.searchsorted(mine, terms)
-                hit = at < len(mine)
-                hit[hit] = mine[at[hit]] == terms[hit]
-                total[hit] += _from_planes(c)[at[hit]]
+            for t, w, c in zip(*(batch.column(k) for k in range(3))):
+                at = _found(terms, t.as_py(), w.as_py())
+                total[at >= 0] += _from_planes(c.as_py())[at[at >= 0]]
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "n"])
 
-    got = index.select("terms", "counts").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    got = index.select("terms", "widths", "counts").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(terms), np.int64)
     df[got["k"].to_numpy()] = got["n"].to_numpy()
     return df
 
 
-def _decode(p: Phrases, terms: bytes, counts: bytes, postings: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a segment: term number at each place (-1: no test word), postings, and each test term's slice of them."""
-    mine, c, pos = np.frombuffer(terms, np.uint64), _from_planes(counts), _from_planes(postings)
-    stop = np.cumsum(c)
-    k = np.searchsorted(mine, p.terms)
-    hit = k < len(mine)
-    hit[hit] = mine[k[hit]] == p.terms[hit]
+def _decode(p: Phrases, terms: bytes, widths: bytes, counts: bytes, postings: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of a segment: term number at each place (-1: no test word), postings, and each test term's slice of them.
+
+    None where no test term occurs.
+    """
+    k = _found(p.terms, terms, widths)
+    hit = np.flatnonzero(k >= 0)
+    if not len(hit):
+        return None
+    c, pos = _from_planes(counts), _from_planes(postings)
     lo, n = np.zeros(len(p.terms), np.int64), np.zeros(len(p.terms), np.int64)
     n[hit] = c[k[hit]]
-    lo[hit] = stop[k[hit]] - n[hit]
-    own = np.full(len(mine), -1, np.int64)
-    own[k[hit]] = np.flatnonzero(hit)
-    at = np.empty(len(pos), np.int64)
+    lo[hit] = np.cumsum(c)[k[hit]] - n[hit]
+    own = np.full(len(c), -1, np.int32)
+    own[k[hit]] = hit
+    at = np.empty(len(pos), np.int32)
     at[pos] = np.repeat(own, c)
     return at, pos, lo, n
 
@@ -222,9 +232,12 @@ def lookup(index: DataFrame, p: Phrases, slack: int = SLACK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for seg, sizes, t, c, q in zip(*(batch.column(k) for k in range(5))):
+            for seg, sizes, *held in zip(*(batch.column(k) for k in range(6))):
+                decoded = _decode(p, *(v.as_py() for v in held))
+                if decoded is None:
+                    continue
+                at, pos, lo, n = decoded
                 bound = np.r_[0, np.cumsum(np.array(sizes.as_py(), np.int64))].astype(np.int64)
-                at, pos, lo, n = _decode(p, t.as_py(), c.as_py(), q.as_py())
                 found = []
                 # empty documents share their bound with the next one; the last such has the words
                 for w, start, exact in intersect(p, at, pos, lo, n, bound, slack):
@@ -243,7 +256,7 @@ def lookup(index: DataFrame, p: Phrases, slack: int = SLACK) -> DataFrame:
                     names=["segment", "row", "item", "start", "stop", "exact"],
                 )
 
-    return index.select("segment", "sizes", "terms", "counts", "postings").mapInArrow(
+    return index.select("segment", "sizes", "terms", "widths", "counts", "postings").mapInArrow(
         run, "segment long, row long, item long, start long, stop long, exact boolean"
     )
 
@@ -274,7 +287,7 @@ def contamination(
     columns are left out.  The test set is the query set: its texts go to the
     driver, and blocks of ``block`` windows at a time to the tasks.
     """
-    tests = benchmark.select(F.col(f"`{item}`").alias("_i"), F.col(f"`{item_text}`").alias("_t")).filter("_t is not null").toArrow()
+    tests = benchmark.select(F.col(f"`{item}`").alias("_i"), F.col(f"`{item_text}`").alias("_t")).filter("_t is not null").toArrow()  # the query set
     names = [None if v is None else str(v) for v in tests["_i"].to_pylist()]
     index = build_index(docs, id, text)
     found = None
@@ -305,11 +318,14 @@ def contamination(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id") -> DataFrame:
-    """The digest of ``contamination``: (id, n_words, n_hit, n_items, items_sha256, contaminated)."""
+    """The digest of ``contamination``: (id, n_words, n_hit, n_items, items_sha256, contaminated, n_near).
+
+    ``n_near``: words inside proximity matches, which contaminate no document.
+    """
     got, _ = contamination(docs, benchmark, id)
     return got.select(
         id, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near",
     )
 
 
@@ -324,8 +340,17 @@ dw as (select r, i, k, array_to_string(w[i : i + k - 1], ' ') as g
        from (select r, w, k, unnest(range(1, len(w) - k + 2)) as i from d, sizes where len(w) >= k)),
 hits as (select r, i, dw.k, item_id from dw join bw on dw.g = bw.g and dw.k = bw.k),
 places as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + k)) as p from (select distinct r, i, k from hits)) group by r),
+df as (select t, count(*) as c from (select unnest(w) as t from d) group by t),
+whole as (select g, string_split(g, ' ') as ws from (select distinct g from bw where k = 10)),
+off as (select g, ws, j, ws[j + 1] as t from (select g, ws, unnest(range(10)) as j from whole)),
+rare as (select g, any_value(ws) as ws, arg_min(j, coalesce(c, 0) * 16 + j) as j from off left join df using (t) group by g),
+pos as (select r, q, w[q] as t from (select r, w, unnest(range(1, len(w) + 1)) as q from d)),
+cand as (select r, ws, q - j as s from pos join (select ws, j, ws[j + 1] as t from rare) using (t)),
+close_ as (select r, s, len(w) as n from cand join d using (r) where not (s >= 1 and s + 9 <= len(w) and w[s : s + 9] = ws)
+           and len(list_filter(range(10), lambda j: s + j + 2 >= 1 and list_contains(w[greatest(s + j - 2, 1) : s + j + 2], ws[j + 1]))) = 10),
+nears as (select r, count(distinct p) as n_near from (select r, unnest(range(greatest(s, 1), least(s + 10, n + 1))) as p from close_) group by r),
 items as (select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as s from hits group by r)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
-       sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join places using (r) left join items using (r)
+       sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, cast(coalesce(n_near, 0) as bigint) as n_near
+from d left join places using (r) left join items using (r) left join nears using (r)
 """

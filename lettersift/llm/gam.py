@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lettersift.llm import textkit as K
 from lettersift.llm.common import held_out, map_texts
 from lettersift.llm.labelled import sample_labels, sigmoid
-from lettersift.llm.rules import measure_texts
+from lettersift.llm.rules import measure_words
 
 #: labelled rows of each class that the model is trained on, at most about
 TRAIN_ROWS = 10_000
@@ -41,15 +41,15 @@ _END[list(b".!?")] = True
 
 def features(column: pa.Array) -> np.ndarray:
     """A row of FEATURES a text; a text without words is a row of zeros."""
-    base = measure_texts(column)
     x = K.Texts(column)
     a, b, doc = x.spans(K.INK)
+    h, values = x.names(a, b)
+    base = measure_words(x, b, doc, h)
     n = base["n_words"]
     per = np.maximum(1, n)
     size = np.maximum(1, x.at[1:] - x.at[:-1])
     ascii_letters = np.maximum(1, x.counts(_UPPER[x.buf] | _LOWER[x.buf]))
-    h = x.hashes(a, b)
-    key = K.mix(h + doc.astype(np.uint64) * K.PLACE[9])
+    key = doc * (len(values) + 1) + h
     _, first, c = np.unique(key, return_index=True, return_counts=True)
     distinct = np.bincount(doc[first], minlength=x.n)
     top = np.zeros(x.n, np.int64)

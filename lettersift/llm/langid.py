@@ -32,7 +32,7 @@ _PARTS = 1 << 16
 
 @dataclass
 class Model:
-    """``tables[0]``: words, then one table for each order: sorted hashes and a row of log rates."""
+    """``tables[0]``: hashes of words, then for each order the n-grams' bytes as numbers; sorted, with a row of log rates."""
 
     langs: list[str]
     tables: list[tuple[np.ndarray, np.ndarray]]
@@ -63,14 +63,14 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 x = K.Texts(batch.column(1).slice(i, j - i), K.LOWER)
                 a, b, doc = x.spans(_LETTER)
                 names = langs.slice(i, j - i).dictionary_encode()
-                own = np.asarray(names.indices)[doc].astype(np.uint64)
-                _, first, n = np.unique(K.mix(x.hashes(a, b) + own * K.PLACE[3]), return_index=True, return_counts=True)
-                raw = x.buf.tobytes()
-                words = [raw[a[k] : b[k]] for k in first.tolist()]
+                own = np.asarray(names.indices)[doc].astype(np.int64)
+                ids, values = x.names(a, b)
+                _, first, n = np.unique(ids * (len(names.dictionary) + 1) + own, return_index=True, return_counts=True)
+                words = values.take(pa.array(ids[first])).to_pylist()
                 every = np.arange(len(names.dictionary))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        names.dictionary.take(pa.array(np.concatenate([own[first].astype(np.int64), every]))),
+                        names.dictionary.take(pa.array(np.concatenate([own[first], every]))),
                         pa.array(words + [b""] * len(every), pa.binary()), pa.array(np.concatenate([n, 0 * every])),
                     ],
                     names=["lang", "word", "n"],
@@ -87,9 +87,10 @@ def _gram_sums(words: pa.Array, lang: np.ndarray, n: np.ndarray):
     weight = np.rint((1 + np.log(n)) * _PARTS)
     for k in ORDERS:
         at, word = grams_of(x, a, b, k)
-        h = x.hashes(at, at + k)
+        h = x.packed(at, k)
         own = lang[word]
-        _, first, inv = np.unique(K.mix(h + own.astype(np.uint64) * K.PLACE[3]), return_index=True, return_inverse=True)
+        # under 2^40 times a language
+        _, first, inv = np.unique(h * np.uint64(own.max(initial=0) + 1) + own.astype(np.uint64), return_index=True, return_inverse=True)
         yield k, h[first], own[first], np.bincount(inv, weight[word], len(first)).astype(np.int64)
 
 
@@ -205,7 +206,7 @@ def word_scores(model: Model, x: K.Texts, a: np.ndarray, b: np.ndarray) -> np.nd
         if not len(open_):
             break
         at, word = grams_of(y, p[open_], q[open_], k)
-        seen, rates = _lookup(model.tables[step], y.hashes(at, at + k))
+        seen, rates = _lookup(model.tables[step], y.packed(at, k))
         got = np.zeros((len(open_), len(model.langs)))
         np.add.at(got, word[seen], rates)
         m = np.bincount(word[seen], minlength=len(open_))
@@ -222,8 +223,7 @@ def predict_texts(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray
     n = np.bincount(doc, minlength=x.n)
     total = np.zeros((x.n, max(1, len(model.langs))))
     if len(a) and model.langs:
-        h = x.hashes(a, b)
-        _, first, inv = np.unique(h, return_index=True, return_inverse=True)
+        _, first, inv = np.unique(x.names(a, b)[0], return_index=True, return_inverse=True)
         s = word_scores(model, x, a[first], b[first])
         # a type in a text counts by its number of places
         key = doc.astype(np.int64) * len(first) + inv

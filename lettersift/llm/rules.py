@@ -34,10 +34,10 @@ def _per_doc(doc: np.ndarray, flags: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc[flags], minlength=n)
 
 
-def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(seen more than once, not the first in place) for each key."""
+def _repeats(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(seen more than once in its text, not the first there) for each key; ``doc`` ascends."""
     order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
+    same = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
     many, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
     many[order[1:][same]] = True
     later[order[1:][same]] = True
@@ -47,8 +47,13 @@ def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def measure_texts(column: pa.Array) -> dict[str, np.ndarray]:
     x = K.Texts(column)
-    n = x.n
     a, b, doc = x.spans(K.INK)
+    return measure_words(x, b, doc, x.names(a, b)[0])
+
+
+def measure_words(x: K.Texts, b: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+    """The counts of texts whose words have the numbers ``ids``; lines and windows are compared exactly."""
+    n = x.n
     words = np.bincount(doc, minlength=n)
     chars = x.counts(K.INK[x.buf] & ((x.buf & 0xC0) != 0x80))
     symbols = x.counts(_SYMBOL[x.buf])
@@ -57,12 +62,10 @@ def measure_texts(column: pa.Array) -> dict[str, np.ndarray]:
     np.cumsum(K.INK[x.buf], out=ink[1:])
     full = ink[lb] > ink[la]
     la, lb, ldoc = la[full], lb[full], ldoc[full]
-    _, later = _repeats(K.mix(x.hashes(la, lb) + ldoc.astype(np.uint64) * K.PLACE[9]))
-    grams = K.ngrams(x.hashes(a, b), 3)
-    own = K.inside(doc, 3)
-    at = np.flatnonzero(own)
-    many, _ = _repeats(K.mix(grams[at] + doc[at].astype(np.uint64) * K.PLACE[9]))
-    covered = K.cover(at[many], 3, len(a)) if len(a) else np.zeros(0, bool)
+    _, later = _repeats(x.names(la, lb)[0], ldoc)
+    at = np.flatnonzero(K.inside(doc, 3))
+    many, _ = _repeats(K.tuples(ids, 3)[at], doc[at])
+    covered = K.cover(at[many], 3, len(b)) if len(b) else np.zeros(0, bool)
     return {
         "n_words": words,
         "word_chars": chars,

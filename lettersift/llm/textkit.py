@@ -24,22 +24,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 #: one odd factor for each word place of an n-gram
 PLACE = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 5
-_BASE = (_BASE & ~7) | 5  # 1 - base has two factors of 2 only
-_powers = {"fwd": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["fwd"]) < n:
-        m = max(n, CHUNK + 4096)
-        for key, base in (("fwd", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
-            a = np.full(m, base, np.uint64)
-            a[0] = 1
-            _powers[key] = np.cumprod(a)
-    return _powers["fwd"], _powers["inv"]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,7 +53,6 @@ class Texts:
         data = np.frombuffer(bufs[2], np.uint8)[offs[0] : offs[-1]] if self.n and bufs[2] is not None else np.zeros(0, np.uint8)
         self.at = offs - offs[0]
         self.buf = data if fold is None else fold[data]
-        self._sum: np.ndarray | None = None
 
     def spans(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Maximal runs of bytes in ``table`` within one text: starts, ends, text numbers."""
@@ -93,23 +78,60 @@ class Texts:
         np.cumsum(mask, out=c[1:])
         return c[self.at[1:]] - c[self.at[:-1]]
 
+    def names(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Numbers of the byte strings [a, b), equal for equal bytes only, and what they stand for.
+
+        The strings ascend and don't overlap; the gaps between them get numbers
+        too.  Bytes are compared, so no two strings are ever taken for one.
+        """
+        n = len(a)
+        if not n:
+            return np.zeros(0, np.int64), pa.array([], pa.binary())
+        wide = len(self.buf) >= 1 << 31
+        cuts = np.empty(2 * n, np.int64 if wide else np.int32)
+        cuts[0::2], cuts[1::2] = a, b
+        data = pa.py_buffer(np.ascontiguousarray(self.buf))
+        both = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), 2 * n - 1, [None, pa.py_buffer(cuts), data])
+        coded = both.dictionary_encode()
+        return np.asarray(coded.indices)[0::2].astype(np.int64), coded.dictionary
+
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Unsigned 64-bit hashes of the byte strings [a, b)."""
-        fwd, inv = _power(len(self.buf) + 1)
-        if self._sum is None:
-            self._sum = np.zeros(len(self.buf) + 1, np.uint64)
-            t = _BYTE[self.buf]
-            t *= fwd[: len(t)]
-            np.cumsum(t, out=self._sum[1:])
-        h = self._sum[b] - self._sum[a]
-        h *= inv[a]
-        h += (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return mix(h)
-
-
-def hash_of(word: bytes) -> int:
-    t = Texts(pa.array([word], pa.binary()))
-    return int(t.hashes(np.array([0]), np.array([len(word)]))[0])
+        """XXH3 of the byte strings [a, b), which ascend and don't overlap."""
+        ids, values = self.names(a, b)
+        return hashes_of(values)[ids] if len(ids) else np.zeros(0, np.uint64)
+
+    def packed(self, at: np.ndarray, k: int) -> np.ndarray:
+        """The k bytes from each place as one number; k is 8 at most."""
+        out = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            out = out << np.uint64(8) | self.buf[at + j]
+        return out
+
+
+def hashes_of(values: pa.Array) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest as xxh
+
+    return np.fromiter((xxh(v) for v in values.to_pylist()), np.uint64, len(values))
+
+
+def pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of the pairs (u, v) of numbers under 2^31, in the order of the pairs."""
+    return np.unique(u * (int(v.max(initial=0)) + 1) + v, return_inverse=True)[1]
+
+
+def tuples(ids: np.ndarray, n: int) -> np.ndarray:
+    """Exact keys of the n ids from each place on; len(ids) - n + 1 of them."""
+    m = len(ids) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    top = int(ids.max()) + 1
+    out, most = ids[:m], top
+    for j in range(1, n):
+        if most * top >= 1 << 63:
+            out = np.unique(out, return_inverse=True)[1]
+            most = m
+        out, most = out * top + ids[j : j + m], most * top
+    return out
 
 
 def ngrams(h: np.ndarray, n: int, place: int = 0) -> np.ndarray:

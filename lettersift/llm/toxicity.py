@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from lettersift.llm import textkit as K
 from lettersift.llm.common import held_out, map_texts
 from lettersift.llm.labelled import logistic, sample_labels, sigmoid
+from lettersift.session import stored
 
 #: labelled rows of each class that the model is trained on, at most about
 TRAIN_ROWS = 4000
-#: bytes of text in the toxic and in the ordinary dictionary, before dilation
-TOXIC_BYTES, ORDINARY_BYTES = 1200, 32_000
-#: a toxic string has so many surroundings at least, and so large a log ratio of rates
-RECURS, CONTRAST = 4, 4.2
-LEVEL = 9
+#: bytes of windows that a dictionary may hold; a compressor looks no further back
+DICT_BYTES = 1 << 16
+#: a window is in a dictionary if it has so many surroundings at least
+RECURS = 3
+#: windows expected in the toxic dictionary by chance alone
+CHANCE = 1.0
 #: each byte is written as so many, so that a match of few letters shows in the length
 DILATION = 4
 THRESHOLD = 0.3
@@ -30,19 +32,18 @@ _MEMO = 1 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: the worst windows of a text that are features
-WORST, DENSEST = 4, 2
-#: tenths of distance for each byte of a window that are counted
-DENSE = (10.0, 14.0)
+WORST = 4
+#: distances from which on windows are counted
+CUTS = (4, 6, 8, 12, 16)
 
 
 @dataclass
 class Model:
-    """Dictionary contents, and the weights of the calibrated decision."""
+    """Windows of either class, the most telling last, and the weights of the calibrated decision."""
 
     toxic: bytes
     ordinary: bytes
-    weights: list[float] | None = None
-    cuts: list[float] = field(default_factory=lambda: [8.0, 12.0, 16.0])
+    weights: list[float] = field(default_factory=list)
 
 
 def _dilate(b: bytes) -> bytes:
@@ -55,83 +56,60 @@ class Distance:
     def __init__(self, model: Model):
         import zstandard as zs
 
+        how = zs.ZstdCompressionParameters(
+            window_log=20, hash_log=17, chain_log=17, search_log=5, min_match=5, target_length=64, strategy=zs.STRATEGY_BTOPT,
+            write_content_size=0, write_checksum=0, write_dict_id=0,
+        )
         self.tools = []
         for content in (model.ordinary, model.toxic):
-            d = zs.ZstdCompressionDict(_dilate(content), dict_type=zs.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.tools.append(zs.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-        self.known = np.zeros(0, np.uint64)
-        self.of = np.zeros(0, np.int16)
-
-    def _lengths(self, tool, data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        import zstandard as zs
-
-        got = tool.multi_compress_to_buffer(zs.BufferWithSegments(data, np.column_stack([at, size]).astype(np.uint64).tobytes()))
-        return np.fromiter((len(got[i]) for i in range(len(got))), np.int64, len(got))
-
-    def compress(self, buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Distances of the windows [a, b) of ``buf``, each between two spaces."""
-        size = b - a + 2
-        at = np.cumsum(size) - size
-        data = np.full(int(size.sum()), 32, np.uint8)
-        n = b - a
-        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        data[np.repeat(at + 1, n) + k] = buf[np.repeat(a, n) + k]
-        wide = _TABLE[data].tobytes()
-        o, t = (self._lengths(tool, wide, at * DILATION, size * DILATION) for tool in self.tools)
-        return o - t
+            d = zs.ZstdCompressionDict(_dilate(content or b"\0" * 8), dict_type=zs.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=how)
+            self.tools.append(zs.ZstdCompressor(compression_params=how, dict_data=d))
+        self.known: dict[bytes, int] = {}
+
+    def of(self, window: bytes) -> int:
+        d = self.known.get(window)
+        if d is None:
+            wide = _dilate(b" " + window + b" ")
+            ordinary, toxic = self.tools
+            d = len(ordinary.compress(wide)) - len(toxic.compress(wide))
+            if len(self.known) >= _MEMO:
+                self.known.clear()
+            self.known[window] = d
+        return d
 
     def windows(self, x: K.Texts, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Distances of word windows; a window seen before is looked up."""
+        """Distances of the windows [a, b), which ascend; each distinct one is compressed once."""
         if not len(a):
-            return np.zeros(0, np.int16)
-        h = x.hashes(a, b)
-        u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, u)
-        hit = at < len(self.known)
-        hit[hit] = self.known[at[hit]] == u[hit]
-        d = np.zeros(len(u), np.int16)
-        d[hit] = self.of[at[hit]]
-        new = np.flatnonzero(~hit)
-        # a window of over 16 KB is compressed alone like any other; blocks keep the buffers small
-        for i in range(0, len(new), 20_000):
-            j = first[new[i : i + 20_000]]
-            d[new[i : i + 20_000]] = np.clip(self.compress(x.buf, a[j], b[j]), -999, 999)
-        if len(new):
-            if len(self.known) > _MEMO:
-                self.known, self.of = u, d
-            else:
-                k = np.concatenate([self.known, u[new]])
-                order = np.argsort(k)
-                self.known, self.of = k[order], np.concatenate([self.of, d[new]])[order]
-        return d[inv]
-
-
-def features(tool: Distance, cuts: list[float], column: pa.Array) -> np.ndarray:
-    """A row a text: the largest distances, also for the window's length, and how many windows reach the cuts."""
+            return np.zeros(0)
+        ids, values = x.names(a, b)
+        used = np.unique(ids)
+        d = np.zeros(len(values))
+        d[used] = [self.of(w) for w in values.take(pa.array(used)).to_pylist()]
+        return d[ids]
+
+
+def features(tool: Distance, column: pa.Array) -> np.ndarray:
+    """A row a text: the largest distances, how many windows reach the cuts, and how many there are."""
     x = K.Texts(column, K.LOWER)
     a, b, doc = x.spans(_LETTER)
-    d = tool.windows(x, a, b).astype(float)
-    per = 10 * d / (b - a + 2)
+    d = tool.windows(x, a, b)
     n = np.bincount(doc, minlength=x.n)
     begin = np.cumsum(n) - n
-    out = []
-    for v, most in ((d, WORST), (per, DENSEST)):
-        order = np.lexsort((-v, doc))
-        for k in range(most):
-            c = np.zeros(x.n)
-            has = n > k
-            c[has] = np.maximum(0, v[order[begin[has] + k]])
-            out.append(c)
-    out += [np.log1p(np.bincount(doc[d >= c], minlength=x.n)) for c in cuts]
-    out += [np.log1p(np.bincount(doc[per >= c], minlength=x.n)) for c in DENSE]
-    return np.column_stack([*out, np.log1p(n)])
+    order = np.lexsort((-d, doc))
+    out = np.zeros((x.n, WORST + len(CUTS) + 1))
+    for k in range(WORST):
+        has = n > k
+        out[has, k] = np.maximum(0, d[order[begin[has] + k]])
+    for k, c in enumerate(CUTS, WORST):
+        out[:, k] = np.log1p(np.bincount(doc[d >= c], minlength=x.n))
+    out[:, -1] = np.log1p(n)
+    return out
 
 
 def _design(f: np.ndarray) -> np.ndarray:
-    top = WORST + DENSEST
-    f = np.column_stack([f[:, :WORST] / 8, f[:, WORST:top] / 5, f[:, top:]])
-    return np.column_stack([f, f[:, :2] ** 2, f[:, WORST:top] ** 2, f[:, :1] * f[:, -1:]])
+    f = np.column_stack([f[:, :WORST] / 8, f[:, WORST:]])
+    return np.column_stack([f, f[:, :2] ** 2, f[:, :1] * f[:, -1:]])
 
 
 def score_features(f: np.ndarray, weights: list[float]) -> np.ndarray:
@@ -139,136 +117,128 @@ def score_features(f: np.ndarray, weights: list[float]) -> np.ndarray:
     return sigmoid(w[0] + _design(f) @ w[1:])
 
 
-@dataclass
-class Contexts:
-    """Words by hash, and the distinct (word, neighbours) places as (key, word hash).
+def surroundings(column: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """Each text's distinct windows and the neighbours of their first place, as a hash.
 
-    Copies and near copies repeat a word in the same surroundings, so they
-    count once, however many there are.
+    Copies and near copies have a window in the same surroundings, so those
+    count once however many copies there are.
     """
-
-    names: dict[int, bytes]
-    key: np.ndarray
-    word: np.ndarray
-
-    def __or__(self, other: Contexts) -> Contexts:
-        key, first = np.unique(np.concatenate([self.key, other.key]), return_index=True)
-        return Contexts(self.names | other.names, key, np.concatenate([self.word, other.word])[first])
-
-
-def contexts(texts: list[str]) -> Contexts:
-    names: dict[int, bytes] = {}
-    keys, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    column = pa.array(texts, pa.large_string())
-    for i, j in K.chunks(column):
-        x = K.Texts(column.slice(i, j - i), K.LOWER)
-        a, b, doc = x.spans(_LETTER)
-        h = x.hashes(a, b)
-        around = h * K.PLACE[2]
-        around[1:] += np.where(doc[1:] == doc[:-1], h[:-1], 0).astype(np.uint64) * K.PLACE[0]
-        around[:-1] += np.where(doc[1:] == doc[:-1], h[1:], 0).astype(np.uint64) * K.PLACE[1]
-        key, first = np.unique(K.mix(around), return_index=True)
-        keys.append(key)
-        words.append(h[first])
-        u, first = np.unique(h, return_index=True)
-        raw = x.buf.tobytes()
-        for k, w in zip(u.tolist(), first.tolist()):
-            if k not in names:
-                names[k] = raw[a[w] : b[w]]
-    key, first = np.unique(np.concatenate(keys), return_index=True)
-    return Contexts(names, key, np.concatenate(words)[first])
-
-
-def _pieces(seen: Contexts) -> dict[bytes, int]:
-    """Letter strings of 4 to 12 bytes within words between spaces: number of contexts."""
-    word, n = np.unique(seen.word, return_counts=True)
-    words = [b" " + seen.names[int(h)] + b" " for h in word]
-    x = K.Texts(pa.array(words, pa.large_binary()))
-    size = x.at[1:] - x.at[:-1]
-    out: dict[bytes, int] = {}
-    raw = x.buf.tobytes()
-    for k in range(4, 13):
-        many = np.maximum(0, size - k + 1)
-        a = np.repeat(x.at[:-1], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        u, first, inv = np.unique(x.hashes(a, a + k), return_index=True, return_inverse=True)
-        c = np.bincount(inv, np.repeat(n, many))
-        for f in np.flatnonzero(c >= 4):
-            out[raw[a[first[f]] : a[first[f]] + k]] = int(c[f])
-    return out
-
-
-def _content(scored: list[tuple[float, bytes]], limit: int) -> bytes:
-    """The best pieces that are no part of a better one, the best last, where offsets are short."""
-    out, seen, left = [], b"", limit
-    for _, g in sorted(scored, key=lambda s: (-s[0], s[1])):
-        if g in seen:
-            continue
-        out.append(g)
-        seen += g + b"\n"
-        left -= len(g)
-        if left <= 0:
-            break
-    return b"".join(reversed(out)) or b"\0" * 8
-
-
-def train_dictionaries(toxic: Contexts, ordinary: Contexts) -> Model:
-    """Dictionary texts of the letter strings that recur in either class.
-
-    The toxic one holds those that are far more usual in toxic text; strings of
-    common language are in the ordinary one, so that they compress no worse
-    there.
+    x = K.Texts(column, K.LOWER)
+    a, b, doc = x.spans(_LETTER)
+    ids, values = x.names(a, b)
+    if not len(a):
+        return [], np.zeros(0, np.int64)
+    h = K.hashes_of(values)[ids]
+    around = h * K.PLACE[2]
+    same = doc[1:] == doc[:-1]
+    around[1:] += np.where(same, h[:-1], np.uint64(0)) * K.PLACE[0]
+    around[:-1] += np.where(same, h[1:], np.uint64(0)) * K.PLACE[1]
+    _, first = np.unique(doc * np.int64(len(values)) + ids, return_index=True)
+    return values.take(pa.array(ids[first])).to_pylist(), K.mix(around[first]).view(np.int64)
+
+
+def window_counts(rows: DataFrame) -> DataFrame:
+    """Of rows (_y, _fold, _text): (y, fold, window, n), n distinct surroundings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, fold = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for k in range(batch.num_rows):
+                got, around = surroundings(batch.column(2).slice(k, 1))
+                cols = [pa.array(np.full(len(got), v[k], np.int32)) for v in (y, fold)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.binary()), pa.array(around)], names=["y", "fold", "window", "around"])
+
+    seen = rows.select("_y", "_fold", "_text").mapInArrow(run, "y int, fold int, window binary, around long")
+    return seen.distinct().groupBy("y", "fold", "window").agg(F.count("*").alias("n"))
+
+
+def _content(scored: list[tuple[int, bytes]]) -> bytes:
+    """Windows between spaces, the most usual last, where offsets are short."""
+    whole = b"".join(b" " + w + b" " for _, w in sorted(scored))
+    return whole[-DICT_BYTES // DILATION :]
+
+
+def train_dictionaries(toxic: dict[bytes, int], ordinary: dict[bytes, int], total: tuple[int, int], kinds: int) -> Model:
+    """The contents of both dictionaries, from counts of surroundings.
+
+    The ordinary one holds the windows that recur in ordinary text.  The toxic
+    one holds those that recur in toxic text far more than in ordinary text:
+    against a Poisson count at the ordinary rate the tail is so thin that of
+    all ``kinds`` of windows CHANCE would pass by accident.  ``total``: all
+    surroundings of toxic and of ordinary text.
     """
-    pt, po = _pieces(toxic), _pieces(ordinary)
-    nt, no = max(1, len(toxic.key)), max(1, len(ordinary.key))
-    rate = lambda g: np.log((pt.get(g, 0) + 0.5) / nt) - np.log((po.get(g, 0) + 0.5) / no)
-    bad = [(n * r * len(g), g) for g, n in pt.items() if n >= RECURS and (r := rate(g)) > CONTRAST]
-    good = [(n * len(g), g) for g, n in po.items() if rate(g) < 0.7]
-    return Model(_content(bad, TOXIC_BYTES), _content(good, ORDINARY_BYTES))
+    bad = []
+    for w, k in toxic.items():
+        mean = (ordinary.get(w, 0) + 0.5) / max(1, total[1]) * total[0]
+        if k >= RECURS and k > mean and k - mean - k * np.log(k / mean) < np.log(CHANCE / max(1, kinds)):
+            bad.append((k, w))
+    return Model(_content(bad), _content([(k, w) for w, k in ordinary.items() if k >= RECURS]))
+
+
+def _dictionaries(counts: DataFrame) -> list[Model]:
+    """Dictionaries of either fold, and of both."""
+    wide = counts.groupBy("window").agg(
+        *[F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("fold") == f), F.col("n"))), F.lit(0)).alias(f"n{y}{f}") for y in (0, 1) for f in (0, 1)]
+    )
+    total = counts.groupBy("y", "fold").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()  # four rows
+    n = {(r["y"], r["fold"]): r["n"] for r in total}
+    kinds = {r["fold"]: r["kinds"] for r in total if r["y"] == 1}
+    both = sum(kinds.values())
+    some = wide.filter((F.col("n00") + F.col("n01") >= RECURS) | (F.col("n10") + F.col("n11") >= RECURS)).toArrow()  # windows that recur in the sample
+    names = some["window"].to_pylist()
+    c = {k: some[f"n{k}"].to_numpy() for k in ("00", "01", "10", "11")}
+    parts = [(c["10"], c["00"], (n.get((1, 0), 0), n.get((0, 0), 0)), kinds.get(0, 0)), (c["11"], c["01"], (n.get((1, 1), 0), n.get((0, 1), 0)), kinds.get(1, 0))]
+    parts.append((c["10"] + c["11"], c["00"] + c["01"], tuple(sum(p[2][k] for p in parts) for k in (0, 1)), both))
+    of = lambda v: {w: int(k) for w, k in zip(names, v) if k}
+    return [train_dictionaries(of(t), of(o), tot, k) for t, o, tot, k in parts]
 
 
-def fit(rows: list[tuple[int, str]], weight: dict[int, float] | None = None) -> Model:
-    """Train on (label, text) rows; ``weight``: rows that one row of a class stands for.
-
-    The rows are cut in two folds; thresholds are calibrated on each fold with
-    the dictionaries of the other one, and the model gets the dictionaries of
-    all rows.  Without an example of one class every text scores the share of
-    toxic examples.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text", keep: Column | None = None) -> Model:
+    """Fit on a bounded sample of labelled rows, TRAIN_ROWS of each class; ``keep``: which ids may be learned from.
+
+    The rows are cut in two folds by id; thresholds are calibrated on each fold
+    with the dictionaries of the other one, and the model gets the dictionaries
+    of all rows.  Windows are counted and features made on the executors; the
+    driver gets the windows that recur and a row of features for each example.
+    Without an example of one class every text scores the share of toxic
+    examples.
     """
-    weight = weight or {}
-    folds = [[[t for y, t in rows[f::2] if y == c] for c in (1, 0)] for f in (0, 1)]
-    seen = [[contexts(t) for t in f] for f in folds]
-    model = train_dictionaries(seen[0][0] | seen[1][0], seen[0][1] | seen[1][1])
-    x, y = [], []
-    for f in (0, 1):
-        tool = Distance(train_dictionaries(*seen[1 - f]))
-        for c, texts in zip((1, 0), folds[f]):
-            column = pa.array(texts, pa.large_string())
-            for i, j in K.chunks(column):
-                x.append(features(tool, model.cuts, column.slice(i, j - i)))
-                y.append(np.full(j - i, float(c)))
-    width = _design(np.zeros((1, WORST + DENSEST + len(model.cuts) + len(DENSE) + 1))).shape[1]
-    y = np.concatenate(y) if y else np.zeros(0)
+    chosen, weight = sample_labels(labels, label, TRAIN_ROWS, keep, id)
+    words = chosen.select(F.col(id).alias("_id"), F.col("y").alias("_y"), F.pmod(F.xxhash64(F.col(id), F.lit(7)), F.lit(2)).cast("int").alias("_fold"))
+    thin = docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    rows = stored(thin.join(F.broadcast(words), "_id").select("_y", "_fold", "_text").filter("_text is not null"))  # 2 * TRAIN_ROWS ids
+    *folds, model = _dictionaries(stored(window_counts(rows)))
+    tools: dict[int, Distance] = {}
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold = np.asarray(batch.column(1))
+            for f in (0, 1):
+                part = batch.filter(pa.array(fold == f))
+                if f not in tools:
+                    tools[f] = Distance(folds[1 - f])
+                for i, j in K.chunks(part.column(2)):
+                    x = features(tools[f], part.column(2).slice(i, j - i))
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+
+    got = rows.select("_y", "_fold", "_text").mapInArrow(measure, "y int, x array<double>").toArrow()
+    y = np.asarray(got["y"].to_numpy(), float)
+    x = np.array(got["x"].to_pylist()).reshape(len(y), -1)
     if 0 < y.sum() < len(y):
+        # in one order, whatever the layout
+        order = np.lexsort((*x.T, y))
+        x, y = x[order], y[order]
         w = np.where(y == 1, weight.get(1, 1.0), weight.get(0, 1.0))
-        model.weights = logistic(_design(np.concatenate(x)), y, weight=w).tolist()
+        model.weights = logistic(_design(x), y, weight=w).tolist()
     else:
         p = np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4)
+        width = _design(np.zeros((1, WORST + len(CUTS) + 1))).shape[1]
         model.weights = [float(np.log(p / (1 - p)))] + [0.0] * width
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text", keep: Column | None = None) -> Model:
-    """Fit on a bounded sample of labelled rows, TRAIN_ROWS of each class; ``keep``: which ids may be learned from."""
-    chosen, weight = sample_labels(labels, label, TRAIN_ROWS, keep, id)
-    words = chosen.select(F.col(id).alias("_id"), "y")
-    thin = docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    got = thin.join(F.broadcast(words), "_id").select("_id", "y", "_text").filter("_text is not null")  # 2 * TRAIN_ROWS ids
-    rows = sorted(((r["_id"], r["y"], r["_text"]) for r in got.toLocalIterator(prefetchPartitions=True)), key=lambda r: (crc32(str(r[0]).encode()), r[1], r[2]))
-    return fit([(y, t) for _, y, t in rows], weight)
-
-
 def classify(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Score every whole text: (id, score, predicted, worst distance, n_toxic windows).
+    """Score every whole text: (id, score, predicted, worst distance).
 
     Windows are the runs of letters and digits of the lower-cased text, each
     between two spaces; wider ones hide one toxic word among several others.  A
@@ -284,7 +254,7 @@ def classify(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "tex
     def fn(_, texts):
         if not tools:
             tools.append(Distance(model))
-        f = features(tools[0], model.cuts, texts)
+        f = features(tools[0], texts)
         s = score_features(f, model.weights)
         return {"score": s, "predicted": (s >= threshold).astype(np.int32), "worst_distance": f[:, 0].astype(np.int32)}
 
