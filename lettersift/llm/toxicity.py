@@ -67,16 +67,23 @@ class Distance:
             self.tools.append(zs.ZstdCompressor(compression_params=how, dict_data=d))
         self.known: dict[bytes, int] = {}
 
-    def of(self, window: bytes) -> int:
-        d = self.known.get(window)
-        if d is None:
-            wide = _dilate(b" " + window + b" ")
-            ordinary, toxic = self.tools
-            d = len(ordinary.compress(wide)) - len(toxic.compress(wide))
-            if len(self.known) >= _MEMO:
-                self.known.clear()
-            self.known[window] = d
-        return d
+    def _lengths(self, tool, data: bytes, cuts: np.ndarray) -> np.ndarray:
+        import zstandard as zs
+
+        got = tool.multi_compress_to_buffer(zs.BufferWithSegments(data, cuts.tobytes()))
+        return np.fromiter((len(got[k]) for k in range(len(got))), np.int64, len(got))
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Compress windows, each between two spaces."""
+        if len(self.known) + len(new) > _MEMO:
+            self.known.clear()
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            wide = _dilate(b"".join(b" " + w + b" " for w in some))
+            size = (np.fromiter(map(len, some), np.int64, len(some)) + 2) * DILATION
+            cuts = np.column_stack([np.cumsum(size) - size, size]).astype(np.uint64)
+            ordinary, toxic = (self._lengths(t, wide, cuts) for t in self.tools)
+            self.known.update(zip(some, (ordinary - toxic).tolist()))
 
     def windows(self, x: K.Texts, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Distances of the windows [a, b), which ascend; each distinct one is compressed once."""
@@ -84,8 +91,15 @@ class Distance:
             return np.zeros(0)
         ids, values = x.names(a, b)
         used = np.unique(ids)
+        names = values.take(pa.array(used)).to_pylist()
         d = np.zeros(len(values))
-        d[used] = [self.of(w) for w in values.take(pa.array(used)).to_pylist()]
+        got = [self.known.get(w) for w in names]
+        new = [w for w, v in zip(names, got) if v is None]
+        if new:
+            before = dict(zip(names, got))
+            self._learn(new)
+            got = [self.known[w] if before[w] is None else before[w] for w in names]
+        d[used] = got
         return d[ids]
 
 
