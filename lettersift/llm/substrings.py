@@ -1,4 +1,4 @@
-"""Substring dedup by a hash join on windows of words, partitioned by prefixes; no suffix tree is built."""
+"""Substring dedup by suffix trees: variable-length prefixes deal the suffixes to groups, each sorted with common prefixes."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +19,13 @@ WINDOW = 13
 #: words of a minimiser; a window holds WINDOW - SEED + 1 of them
 SEED = 6
 #: prefix lengths in words, tried in this order until a prefix is rare enough
-LEVELS = (1, 2, 3, 4, 6, 9)
+LEVELS = (1, 2, 3, 4, SEED)
+#: text bytes of a group, about
+GROUP_BYTES = 32 << 20
 #: text bytes of a chunk: what one task looks at together
 _CHUNK = 3 << 20
 _MAX = (1 << 63) - 1
-#: kinds of exchanged rows: tree entries, decided places, a chunk's documents, usual prefixes
+#: kinds of exchanged rows: seeds or runs of windows, decided places, a chunk's documents, usual prefixes
 ENTRY, PLACE, DOCS, PREFIX = range(4)
 _COLS = ["g", "chunk", "kind", "k", "lo", "doc", "pos", "ids"]
 _SCHEMA = "g int, chunk long, kind int, k binary, lo binary, doc binary, pos binary, ids binary"
@@ -42,7 +45,8 @@ class Suffixes:
     def __init__(self, column: pa.Array, window: int = WINDOW):
         self.x = K.Texts(column)
         self.a, self.b, self.doc = self.x.spans(K.INK)
-        self.h = self.x.hashes(self.a, self.b)
+        self.ids, self.values = self.x.names(self.a, self.b)
+        self.h = K.hashes_of(self.values)[self.ids] if len(self.a) else np.zeros(0, np.uint64)
         self.n = np.bincount(self.doc, minlength=self.x.n)
         self.first = np.cumsum(self.n) - self.n
         self.at = np.flatnonzero(K.inside(self.doc, window))
@@ -61,17 +65,50 @@ class Suffixes:
         return best, at
 
 
-def _represent(key: np.ndarray, lo: np.ndarray, rank: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ranks(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Ranks of the WINDOW words from each start on, and of the 1, 2, 4 and 8 words from each place on.
+
+    Prefix doubling: the rank of twice as many words is that of a pair of
+    ranks, so equal ranks mean equal words and ranks ascend in word order.
+    """
+    level = [ids]
+    for n in (1, 2, 4):
+        r = level[-1]
+        level.append(K.pairs(r[:-n], r[n:]) if len(r) > n else np.zeros(0, np.int64))
+    return K.pairs(level[3][starts], level[3][starts + WINDOW - 8]) if len(starts) else np.zeros(0, np.int64), level
+
+
+def suffix_array(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``starts``, WINDOW words of each, in order, and each one's common words with the one before.
+
+    These are the leaves of the group's tree and the depths of the inner nodes
+    between them; nodes below depth WINDOW aren't told apart here, as a longer
+    repeat is a run of windows.
+    """
+    r, level = ranks(ids, starts)
+    order = np.argsort(r, kind="stable")
+    lcp = np.zeros(len(order), np.int64)
+    if len(order):
+        i, j = starts[order[1:]], starts[order[:-1]]
+        n = np.zeros(len(i), np.int64)
+        for k in (3, 2, 1, 0):
+            p, q = np.minimum(i + n, len(level[k]) - 1), np.minimum(j + n, len(level[k]) - 1)
+            n += np.where(level[k][p] == level[k][q], 1 << k, 0)
+        lcp[1:] = np.where(r[order[1:]] == r[order[:-1]], WINDOW, np.minimum(n, WINDOW - 1))
+    return order, lcp
+
+
+def _represent(key: np.ndarray, rank: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Masks: entries of each key's least rank, of larger ranks, and of keys of several documents.
 
     Equal keys are brought together here, before any shuffle, so a hot repeat
     leaves a chunk once, however many copies are in it.
     """
-    o = np.lexsort((doc, rank, lo, key))
-    k, low, r, d = key[o], lo[o], rank[o], doc[o]
+    o = np.lexsort((doc, rank, key))
+    k, r, d = key[o], rank[o], doc[o]
     least, later, shared = (np.zeros(len(o), bool) for _ in range(3))
     if len(o):
-        new = np.r_[True, (k[1:] != k[:-1]) | (low[1:] != low[:-1])]
+        new = np.r_[True, k[1:] != k[:-1]]
         start, node = np.flatnonzero(new), np.cumsum(new) - 1
         least[o] = r == r[start][node]
         later[o] = r > r[start][node]
@@ -79,18 +116,52 @@ def _represent(key: np.ndarray, lo: np.ndarray, rank: np.ndarray, doc: np.ndarra
     return least, later, shared
 
 
-def _rows(chunk: int, groups: np.ndarray, key, lo, doc, pos, rank: np.ndarray) -> Iterator[tuple]:
-    """Entries as a row for each group: sorted keys as differences, byte plane by byte plane.
+def _cuts(v: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    cut = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]).tolist() if len(v) else []
+    yield from zip(cut, [*cut[1:], len(v)])
 
-    ``ids``: ranks of the group's documents, ascending by place in the chunk.
-    """
-    o = np.lexsort((key, groups))
-    groups, key, lo, doc, pos = (v[o] for v in (groups, key, lo, doc, pos))
-    cut = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(o) else []
-    for p, q in zip(cut, [*cut[1:], len(o)]):
+
+def _seed_rows(chunk: int, s: Suffixes, mine: np.ndarray, key, place, group, rank: np.ndarray, _) -> Iterator[tuple]:
+    """Seeds as a row for each group: sorted keys as differences, byte plane by byte plane."""
+    key, place, group = key[mine], place[mine], group[mine]
+    o = np.lexsort((key, group))
+    key, place, group = key[o], place[o], group[o]
+    doc = s.doc[place]
+    for p, q in _cuts(group):
         k = key[p:q].copy()
         k[1:] -= key[p : q - 1]
-        yield int(groups[p]), chunk, ENTRY, _pack(k, 8), _pack(lo[p:q], 2), _pack(doc[p:q], 4), _pack(pos[p:q], 4), rank[np.unique(doc[p:q])].tobytes()
+        yield int(group[p]), chunk, ENTRY, _pack(k, 8), None, _pack(doc[p:q], 4), _pack(place[p:q] - s.first[doc[p:q]], 4), None
+
+
+def _window_rows(chunk: int, s: Suffixes, mine: np.ndarray, key, place, group, rank: np.ndarray, anchor: np.ndarray) -> Iterator[tuple]:
+    """Windows as a row for each group: the words of runs of neighbouring windows, so that each is written about once.
+
+    ``k``: the words between spaces; ``lo``: windows of each run; ``doc`` and
+    ``pos``: where the run starts; ``ids``: ranks of the group's documents,
+    ascending by place in the chunk.
+    """
+    place, group, anchor = place[mine], group[mine], anchor[mine]
+    o = np.lexsort((place, group))
+    place, group, anchor = place[o], group[o], anchor[o]
+    if not len(place):
+        return
+    new = np.r_[True, (place[1:] != place[:-1] + 1) | (group[1:] != group[:-1]) | (anchor[1:] != anchor[:-1])]
+    first = np.flatnonzero(new)
+    many = np.diff(np.r_[first, len(place)])
+    start, group = place[first], group[first]
+    n = many + WINDOW - 1
+    word = np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    size = s.b[word] - s.a[word]
+    stop = np.cumsum(size + 1)
+    text = np.full(int(stop[-1]), 32, np.uint8)
+    k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    text[np.repeat(stop - size - 1, size) + k] = s.x.buf[np.repeat(s.a[word], size) + k]
+    raw, end = text.tobytes(), np.r_[0, stop[np.cumsum(n) - 1]]
+    doc = s.doc[start]
+    for p, q in _cuts(group):
+        d = doc[p:q]
+        yield int(group[p]), chunk, ENTRY, raw[end[p] : end[q]], _pack(many[p:q], 2), _pack(d, 4), _pack(start[p:q] - s.first[d], 4), rank[np.unique(d)].tobytes()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -98,8 +169,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, kinds)], names=_COLS)
 
 
-def _scan(docs: DataFrame, entries: Callable, groups: int, ids: list[str], symmetric: bool) -> DataFrame:
-    """Exchange rows of ``docs`` (columns ``ids``, text, more): ``entries(suffixes, batch)`` gives keys to compare.
+def _scan(docs: DataFrame, entries: Callable, write: Callable, groups: int, ids: list[str], symmetric: bool) -> DataFrame:
+    """Exchange rows of ``docs`` (columns ``ids``, text, more): ``entries(suffixes, batch)`` gives keys to
+    compare and ``write`` the rows of those that must be compared with other chunks'.
 
     Keys that several documents of a chunk share are decided for all but the least
     of them, and for that too if ``symmetric``.
@@ -116,8 +188,8 @@ def _scan(docs: DataFrame, entries: Callable, groups: int, ids: list[str], symme
                 names = np.column_stack([np.asarray(rows.column(k)) for k in range(len(ids))]).astype(np.int64)
                 # from what is in the chunk: the same on every attempt
                 chunk = int(K.mix((names.view(np.uint64) * K.PLACE[: len(ids)]).sum(1) + np.arange(len(names)).astype(np.uint64)).sum() >> np.uint64(1))
-                key, lo, place, group, prefixes = entries(s, rows)
-                mine, later, shared = _represent(key, lo, names[s.doc[place], 0], s.doc[place])
+                key, place, group, anchor, prefixes = entries(s, rows)
+                mine, later, shared = _represent(key, names[s.doc[place], 0], s.doc[place])
                 other = shared if symmetric else later
                 doc = s.doc[place]
                 pos = place - s.first[doc]
@@ -127,7 +199,7 @@ def _scan(docs: DataFrame, entries: Callable, groups: int, ids: list[str], symme
                     out.append((home, chunk, PLACE, None, None, _pack(doc[other], 4), _pack(pos[other], 4), None))
                 if prefixes is not None:
                     out.append((home, chunk, PREFIX, prefixes[0].tobytes(), None, None, _pack(prefixes[1], 4), None))
-                out += _rows(chunk, group[mine], key[mine], lo[mine], doc[mine], pos[mine], names[:, 0])
+                out += write(chunk, s, mine, key, place, group, names[:, 0], anchor)
                 yield _batch(out)
 
     return docs.mapInArrow(run, _SCHEMA)
@@ -155,34 +227,60 @@ def _by(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]
         yield held
 
 
-def _decide(rows: DataFrame, decide: Callable, parts: int) -> DataFrame:
-    """Bring each group's window hashes together, sort them and tell the chunks which of their places it decides.
+def _seeds_elsewhere(entries: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, doc, pos) of the seeds whose hash is in several chunks."""
+    key = np.concatenate([np.cumsum(_unpack(e[1], 8)) for e in entries])
+    doc, pos = (np.concatenate([_unpack(e[k], 4) for e in entries]) for k in (3, 4))
+    chunk = np.repeat([e[0] for e in entries], [len(e[3]) // 4 for e in entries])
+    o = np.argsort(key, kind="stable")
+    key, doc, pos, chunk = key[o], doc[o], pos[o], chunk[o]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    apart = np.minimum.reduceat(chunk, start) != np.maximum.reduceat(chunk, start)
+    hit = np.repeat(apart, np.diff(np.r_[start, len(key)]))
+    return chunk[hit], doc[hit], pos[hit]
+
+
+def _later_leaves(entries: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, doc, pos) of the leaves below nodes of depth WINDOW that aren't of the node's least document."""
+    x = K.Texts(pa.array([b"".join(e[1] for e in entries)], pa.large_binary()))
+    ids, values = x.names(*x.spans(K.INK)[:2])
+    # numbers in the order of the words
+    ids = pc.rank(values, sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)[ids]
+    many = np.concatenate([_unpack(e[2], 2) for e in entries]).astype(np.int64)
+    n = many + WINDOW - 1
+    inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    starts = np.repeat(np.cumsum(n) - n, many) + inner
+    doc, pos, rank = [], [], []
+    for _, _, _, d, p, names in entries:
+        d = _unpack(d, 4)
+        doc.append(d)
+        pos.append(_unpack(p, 4))
+        rank.append(np.frombuffer(names, np.int64)[np.searchsorted(np.unique(d), d)])
+    doc, pos, rank = (np.repeat(np.concatenate(v), many) for v in (doc, pos, rank))
+    chunk = np.repeat(np.repeat([e[0] for e in entries], [len(e[3]) // 4 for e in entries]), many)
+    order, lcp = suffix_array(ids, starts)
+    first = np.flatnonzero(lcp < WINDOW)
+    least = np.repeat(np.minimum.reduceat(rank[order], first), np.diff(np.r_[first, len(order)]))
+    hit = order[rank[order] > least]
+    return chunk[hit], doc[hit], pos[hit] + inner[hit].astype(np.uint32)
 
-    ``decide(node, chunk, rank)`` marks the entries, sorted, with their node
-    number; the other kinds of rows pass.
-    """
+
+def _decide(rows: DataFrame, decide: Callable, parts: int) -> DataFrame:
+    """Bring each group together and tell the chunks which of their places it decides; the other kinds of rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _by("g", batches):
             out, entries = [], []
             for chunk, kind, k, lo, doc, pos, ids in zip(g["chunk"], g["kind"], g["k"], g["lo"], g["doc"], g["pos"], g["ids"]):
-                if kind != ENTRY:
+                if kind == ENTRY:
+                    entries.append((chunk, k, lo, doc, pos, ids))
+                else:
                     out.append((0, chunk, kind, k, None, doc, pos, ids))
-                    continue
-                d = _unpack(doc, 4)
-                rank = np.frombuffer(ids, np.int64)[np.searchsorted(np.unique(d), d)]
-                entries.append((np.cumsum(_unpack(k, 8)), _unpack(lo, 2), d, _unpack(pos, 4), np.full(len(d), chunk), rank))
             if entries:
-                key, lo, doc, pos, chunk, rank = (np.concatenate(v) for v in zip(*entries))
-                o = np.lexsort((lo, key))
-                key, lo, doc, pos, chunk, rank = (v[o] for v in (key, lo, doc, pos, chunk, rank))
-                node = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1])])
-                hit = decide(node, chunk, rank)
-                doc, pos, chunk = doc[hit], pos[hit], chunk[hit]
+                chunk, doc, pos = decide(entries)
                 o = np.argsort(chunk, kind="stable")
                 doc, pos, chunk = doc[o], pos[o], chunk[o]
-                cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(o) else []
-                out += [(0, int(chunk[p]), PLACE, None, None, _pack(doc[p:q], 4), _pack(pos[p:q], 4), None) for p, q in zip(cut, [*cut[1:], len(o)])]
+                out += [(0, int(chunk[p]), PLACE, None, None, _pack(doc[p:q], 4), _pack(pos[p:q], 4), None) for p, q in _cuts(chunk)]
             if out:
                 yield _batch(out)
 
@@ -215,13 +313,13 @@ def _places(decided: DataFrame, parts: int) -> DataFrame:
     return got.groupBy("kid", "th").agg(F.max("places").alias("places"))
 
 
-def usual_prefixes(s: Suffixes, share: float) -> tuple[np.ndarray, np.ndarray] | None:
-    """Prefixes that begin more than half of ``share`` of the chunk's suffixes, and how many."""
+def usual_prefixes(s: Suffixes, at: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Prefixes that begin more than half of ``share`` of the suffixes at ``at``, and how many."""
     keys, counts = [], []
-    at = s.at
+    least = max(8, len(at) * share / 2)
     for n in LEVELS:
         u, inv, c = np.unique(K.ngrams(s.h, n, 40)[at], return_inverse=True, return_counts=True)
-        big = c > max(8, len(s.at) * share / 2)
+        big = c > least
         if not big.any():
             break
         keys.append(u[big])
@@ -230,9 +328,9 @@ def usual_prefixes(s: Suffixes, share: float) -> tuple[np.ndarray, np.ndarray] |
     return (np.concatenate(keys), np.concatenate(counts)) if keys else None
 
 
-def prefix_groups(s: Suffixes, at: np.ndarray, heavy: np.ndarray, groups: int) -> np.ndarray:
-    """Group of each suffix: its shortest prefix that isn't heavy decides, all its words at the last."""
-    out = K.ngrams(s.h, WINDOW, 40)[at] if len(at) else np.zeros(0, np.uint64)
+def prefix_groups(s: Suffixes, place: np.ndarray, at: np.ndarray, heavy: np.ndarray, groups: int) -> np.ndarray:
+    """Group of each window: the shortest prefix of the suffix at ``at`` that isn't heavy decides, all words of the window at the last."""
+    out = K.ngrams(s.h, WINDOW, 40)[place] if len(place) else np.zeros(0, np.uint64)
     open_ = np.arange(len(at))
     for n in LEVELS:
         k = K.ngrams(s.h, n, 40)[at[open_]] if len(open_) else np.zeros(0, np.uint64)
@@ -247,15 +345,20 @@ def prefix_groups(s: Suffixes, at: np.ndarray, heavy: np.ndarray, groups: int) -
 def repeated_places(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(keyed texts, places): where windows start that a document with a smaller id has too.
 
-    1. Each window's minimiser, about a fifth as many as words, goes to its hash
-       group, as 48 bits; windows whose minimiser is in no other document can't
-       repeat and are out.
-    2. The other windows go to the group of their prefix.  A prefix grows
-       word by word until it begins a bounded share of all suffixes, so that
-       groups have one size however usual a word is.  In a group the 80-bit
-       hashes of whole windows are sorted, not the suffixes; of a run of equal
-       ones all but those of its least document are repeats, and consecutive
-       ones join to the maximal repeats.
+    1. Each window's anchor, the least of its runs of SEED words by hash, goes
+       to its hash group as 48 bits; there are about a fifth as many as words.
+       Windows whose anchor is in no other document can't repeat and are out.
+    2. The other windows go to the group of a prefix of the suffix that starts
+       at their anchor: equal windows have equal ones, and neighbours share
+       theirs, so that a run of windows is sent as one piece of text instead of
+       once a suffix.  A prefix grows word by word until it begins a bounded
+       share of all anchored suffixes, so groups have one size however usual a
+       word is.
+    3. A group sorts its suffixes by prefix doubling, finds the common words of
+       neighbours, and takes the nodes of depth WINDOW: their leaves, but for
+       those of the least document, are repeats.  Words are compared as they
+       are, not by hashes.  Windows next to each other join to the maximal
+       repeats, which are the deeper nodes.
     """
     spark = docs.sparkSession
     parts = sql_partitions(spark)
@@ -263,46 +366,38 @@ def repeated_places(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     keyed = docs.select(
         F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(_MAX)).alias("kid"),
         F.xxhash64(F.col(f"`{text}`"), F.col(f"`{id}`").isNull()).alias("th"),
-        F.col(f"`{text}`").alias("text"),
-    )
+        F.col(f"`{text}`").alias("text"), F.col(f"`{id}`").isNull().alias("none"),
+    )
     share = 1.0 / groups
 
     def seeds(s: Suffixes, _):
         best, at = s.minimisers()
         place, first = np.unique(at, return_index=True)
         key = best[first] >> np.uint64(16)
-        return key, np.zeros(len(key), np.uint16), place, (K.mix(key) % np.uint64(groups)).astype(np.int64), usual_prefixes(s, share)
+        return key, place, (K.mix(key) % np.uint64(groups)).astype(np.int64), None, usual_prefixes(s, place, share)
 
-    def elsewhere(node, chunk, rank):
-        new = np.r_[True, node[1:] != node[:-1]]
-        start = np.flatnonzero(new)
-        apart = np.minimum.reduceat(chunk, start) != np.maximum.reduceat(chunk, start)
-        return apart[node]
-
-    first = stored(_decide(_scan(keyed, seeds, groups, ["kid", "th"], True), elsewhere, parts))
+    first = stored(_decide(_scan(keyed.drop("none"), seeds, _seed_rows, groups, ["kid", "th"], True), _seeds_elsewhere, parts))
     # at most groups * 2 prefixes of each length
     usual = first.filter(F.col("kind") == PREFIX).select("k", "pos").mapInArrow(_prefix_counts, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    total = first.filter(F.col("kind") == PREFIX).count()
-    heavy = np.sort(np.array([r["p"] for r in usual.filter(F.col("n") > total * _CHUNK * share / 6).collect()], np.int64).view(np.uint64))
+    chunks = first.filter(F.col("kind") == DOCS).count()
+    # a word has about six bytes, an anchor is every fourth
+    heavy = np.sort(np.array([r["p"] for r in usual.filter(F.col("n") > chunks * _CHUNK * share / 24).collect()], np.int64).view(np.uint64))
     some = _places(first, parts).withColumnRenamed("places", "seeds")
+    trees = max(groups, chunks * _CHUNK // GROUP_BYTES)
 
     def windows(s: Suffixes, rows: pa.RecordBatch):
         _, at = s.minimisers()
         marked = np.zeros(len(s.h) + 1, bool)
         for d, b in enumerate(rows.column(rows.schema.get_field_index("seeds")).to_pylist()):
             marked[s.first[d] + np.frombuffer(b, "<u4").astype(np.int64)] = True
-        place = s.at[marked[at]]
-        key, lo = K.ngrams(s.h, WINDOW)[place], (K.ngrams(s.h, WINDOW, 20)[place] >> np.uint64(48)).astype(np.uint16)
-        return key, lo, place, prefix_groups(s, place, heavy, groups), None
-
-    def later(node, chunk, rank):
-        start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        return rank > np.minimum.reduceat(rank, start)[node]
+        open_ = marked[at]
+        place, at = s.at[open_], at[open_]
+        return ranks(s.ids, place)[0], place, prefix_groups(s, place, at, heavy, trees), at, None
 
     # sorted by key on both sides, so that a chunk is the same on every attempt
     texts = keyed.repartition(parts, "kid", "th")
     held = texts.hint("merge").join(some, ["kid", "th"]).select("kid", "th", "text", "seeds")
-    return texts, _places(_decide(_scan(held, windows, groups, ["kid", "th"], False), later, parts), parts)
+    return texts, _places(_decide(_scan(held, windows, _window_rows, trees, ["kid", "th"], False), _later_leaves, parts), parts)
 
 
 def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,13 +436,14 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", te
     text (words joined by one space) and the removed spans (start, stop in words).
     Words are runs without white space, unchanged; windows are judged on the
     input.  Null and empty texts have no words; texts shorter than a window keep
-    all.  A null id counts as larger than any other and equal to other nulls.
+    all.  A null id counts as the largest and equal to other nulls.
     Repeated rows (id and text) are treated alike, one row each; an empty table
-    gives no rows; extra columns are left out.  Ids are whole numbers.
+    gives no rows; extra columns are left out.  Ids are whole numbers; null
+    takes the place of the largest one in the order.
     """
     keyed, places = repeated_places(docs, id, text)
     kind = docs.schema[id].dataType.simpleString()
-    both = keyed.join(places, ["kid", "th"], "left").select("kid", "text", "places")
+    both = keyed.join(places, ["kid", "th"], "left").select("kid", "text", "places", "none")
     more = ", text string, spans array<struct<start:int,stop:int>>" if texts else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +452,7 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", te
                 rows = batch.slice(i, j - i)
                 p = rows.column(2).to_pylist()
                 got = keep_words(rows.column(1), p)
-                cols = [rows.column(0), pa.array(got["n_words"]), pa.array(got["n_removed"]), pa.array([sha256(t).hexdigest() for t in got["kept"]])]
+                cols = [pc.if_else(rows.column(3), pa.scalar(None, pa.int64()), rows.column(0)), pa.array(got["n_words"]), pa.array(got["n_removed"]), pa.array([sha256(t).hexdigest() for t in got["kept"]])]
                 names = ["kid", "n_words", "n_removed", "kept_sha256"]
                 if texts:
                     cols += [pa.array([t.decode() for t in got["kept"]], pa.string()), pa.array([_spans(b) for b in p], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
@@ -364,7 +460,7 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", te
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     out = both.mapInArrow(run, f"kid long, n_words long, n_removed long, kept_sha256 string{more}")
-    return out.withColumn("kid", F.when(F.col("kid") != _MAX, F.col("kid")).cast(kind)).withColumnRenamed("kid", id)
+    return out.withColumn("kid", F.col("kid").cast(kind)).withColumnRenamed("kid", id)
 
 
 def _spans(places: bytes | None) -> list[dict[str, int]]:
