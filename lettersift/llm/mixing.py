@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from lettersift.llm import textkit as K
 from lettersift.llm.common import map_texts, salted_join
-from lettersift.session import stored
+from lettersift.session import sql_partitions, stored
 
 #: weights of the sources in code point order, repeating
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -19,6 +19,8 @@ MOST = 3
 #: documents that one flight balances; any number of flights run side by side
 BLOCK = 20_000
 _EPS = 1e-9
+#: what equal rows have in common
+_UNIT = ["source", "_id", "_md5", "_size"]
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
@@ -114,7 +116,8 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["_h", "_size", "_rid"], kind="stable").reset_index(drop=True)
+    # long documents first, so that those left for the landing are short
+    pdf = pdf.sort_values(["_size", "_h"], ascending=[False, True], kind="stable").reset_index(drop=True)
     pick = K.mix(pdf["_h"].to_numpy(np.int64).view(np.uint64)) / 2.0**64
     p = pdf["_p"].to_numpy(float)
     p = flight(p, pdf["_size"].to_numpy(), pick)
@@ -123,75 +126,129 @@ def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(_p=p)
 
 
-def mix(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
-    weights=WEIGHTS, most: float = MOST, block: int = BLOCK,
-) -> DataFrame:
-    """Whole copies of documents so that each source has its target of words.
+def mix_units(units: DataFrame, weights=WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
+    """Copies that the mix takes of each unit (source, _id, _md5, _size, _n): adds source_size, target, _base, _extra.
 
-    Every document of a source is taken floor(target / source size) times, and
-    once more for a balanced sample with the fraction as inclusion probability:
-    the cube method runs in blocks of about ``block`` documents, each leaves at
-    most two open units, those fly again together until one block per source is
-    left, and its two or fewer units land.  Words and documents of each source
-    thus miss their totals by a landing only.
-
-    Returns (id, size, source_size, target, taken, copies), a row per input
-    row.  Null and empty texts have size 0; they are sampled like others and
-    take 0 words.  The null source comes last.  Repeated rows are documents of
-    their own.  A source of size 0 has target 0.  An empty table gives no rows;
-    extra columns are left out.  Choices depend on ids, sizes and text checksums
-    only, so reruns agree.  Only (id, source, size) rows are shuffled, by source
-    and block, so that a hot source is many groups.
+    A unit stands for ``_n`` equal rows; each is taken ``_base`` times and
+    ``_extra`` of them once more.  Of the ``_n`` times fraction more, whole ones
+    are sure and the rest is the unit's inclusion probability in the flight.
     """
-    named = docs.select(
-        F.col(f"`{id}`").alias("_id"), F.col(f"`{source}`").alias("source"), F.crc32(F.col(f"`{text}`").cast("binary")).alias("_crc"),
-        F.col(f"`{text}`").alias("_text"),
-    )
-
-    def count(_, t):
-        x = K.Texts(t)
-        return {"_size": np.bincount(x.spans(K.INK)[2], minlength=x.n)}
-
-    sizes = stored(
-        map_texts(named, "_text", "_size long", count, ["_id", "source", "_crc"]).withColumn("_rid", F.monotonically_increasing_id())
-    )
-    per = sizes.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n_docs"))
-    plan = stored(targets(per, weights, most))
+    per = units.groupBy("source").agg(F.sum(F.col("_size") * F.col("_n")).alias("source_size"), F.sum("_n").alias("n_docs"), F.count("*").alias("_units"))
+    plan = targets(per.drop("_units"), weights, most).join(per.select(F.col("source").alias("_s"), "_units"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = (
+    plan = stored(
         plan.withColumn("_rate", rate)
         .withColumn("_base", F.floor(F.col("_rate") + _EPS))
         .withColumn("_f", F.greatest(F.col("_rate") - F.col("_base"), F.lit(0.0)))
-        .withColumn("_blocks", F.ceil(F.col("n_docs") / block))
+        .withColumn("_blocks", F.ceil(F.col("_units") / block))
+        .drop("_rate", "_units", "n_docs")
+    )
+    rows = salted_join(units, plan, ["source"], F.struct("_id", "_md5"))
+    more = F.col("_n") * F.col("_f")
+    rows = (
+        rows.withColumn("_h", F.xxhash64("_id", "_md5", "_size"))
+        .withColumn("_sure", F.floor(more + _EPS))
+        .withColumn("_p", F.greatest(more - F.col("_sure"), F.lit(0.0)).cast("double"))
+        .withColumn("_block", F.pmod(F.xxhash64("_h"), F.col("_blocks")))
     )
-    rows = salted_join(sizes, plan, ["source"], F.struct("_rid"))
-    # rows without an id are told apart by checksum and place
-    h = F.when(F.col("_id").isNull(), F.xxhash64("_crc", "_size", "_rid")).otherwise(F.xxhash64("_id", "_size", "_crc"))
-    rows = rows.withColumn("_h", h).withColumn("_p", F.col("_f").cast("double"))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_h"), F.col("_blocks")))
-    done = []
-    cols = ["_id", "source", "_size", "_h", "_rid", "_p", "_block", "_blocks", "source_size", "target", "_base"]
+    cols = [*_UNIT, "_n", "_h", "_p", "_block", "_blocks", "source_size", "target", "_base", "_sure"]
     now = rows.select(*cols)
     schema = now.schema
     fan = max(2, block // 4)
+    out = None
     while True:
         now = stored(now.groupBy("source", "_block").applyInPandas(_fly, schema))
         closed = (F.col("_p") == 0) | (F.col("_p") == 1)
-        done.append(now.filter(closed))
+        done = now.filter(closed)
+        out = done if out is None else out.unionByName(done)
         rest = now.filter(~closed)
         if rest.isEmpty():
             break
-        now = (
-            rest.withColumn("_block", F.floor(F.col("_block") / fan))
-            .withColumn("_blocks", F.ceil(F.col("_blocks") / fan))
-            .select(*cols)
-        )
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    copies = (F.col("_base") + F.col("_p")).cast("long")
-    return out.select(
-        F.col("_id").alias(id), F.col("_size").alias("size"), "source_size", "target",
-        (copies * F.col("_size")).alias("taken"), copies.alias("copies"), F.col("_rid").alias("row"),
+        now = rest.withColumn("_block", F.floor(F.col("_block") / fan)).withColumn("_blocks", F.ceil(F.col("_blocks") / fan)).select(*cols)
+    extra = (F.col("_sure") + F.col("_p")).cast("long")
+    return out.select(*_UNIT, "_n", "source_size", "target", F.col("_base").cast("long").alias("_base"), extra.alias("_extra"))
+
+
+def _thin(docs: DataFrame, id: str, text: str, source: str, carry: list[str]) -> DataFrame:
+    """The columns of _UNIT and ``carry``, as _c0 and on; ids as strings, so that pandas keeps them whole."""
+    named = docs.select(
+        F.col(f"`{id}`").cast("string").alias("_id"), F.col(f"`{source}`").alias("source"), F.md5(F.col(f"`{text}`").cast("binary")).alias("_md5"),
+        F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carry)],
     )
+
+    def count(_, t):
+        x = K.Texts(t)
+        return {"_size": np.bincount(x.spans(K.INK)[2], minlength=x.n)}
+
+    return map_texts(named, "_text", "_size long", count, ["_id", "source", "_md5", *[f"_c{k}" for k in range(len(carry))]])
+
+
+#: equal rows that one task writes
+_PIECE = 100_000
+
+
+def _spread(units: DataFrame) -> DataFrame:
+    """A row for each of a unit's equal rows: ``_nth`` from 0; units of many are cut in pieces first, so that none is one task's work."""
+    small = units.filter(F.col("_n") <= _PIECE).withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    pieces = units.filter(F.col("_n") > _PIECE).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(_PIECE).cast("long"))))
+    to = F.least(F.col("_from") + _PIECE, F.col("_n")) - 1
+    large = pieces.repartition(sql_partitions(units.sparkSession), "_id", "_md5", "_from").withColumn("_nth", F.explode(F.sequence(F.col("_from"), to))).drop("_from")
+    return small.unionByName(large)
+
+
+def mix(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
+    weights=WEIGHTS, most: float = MOST, block: int = BLOCK,
+) -> DataFrame:
+    """Whole copies of documents so that each source has its target of words.
+
+    Every document of a source is taken floor(target / source size) times, and
+    once more for a balanced sample with the fraction as inclusion probability:
+    the cube method runs in blocks of about ``block`` documents, each leaves at
+    most two open units, those fly again together until one block per source is
+    left, and its two or fewer units land.  Long documents fly first, so words
+    and documents of each source miss their totals by a landing of short ones.
+
+    Returns (id, size, source_size, target, taken, copies), a row per input
+    row.  Null and empty texts have size 0; they are sampled like others and
+    take 0 words.  The null source comes last.  Repeated rows (id, text and
+    source), rows without an id too, are counted and fly as one unit, whose
+    sure part is taken and whose rest is drawn.  A source of size 0 has target
+    0.  An empty table gives no rows; extra columns are left out.  Choices depend
+    on ids, texts and sources only, so reruns agree on every layout.  Only
+    (id, source, size) rows are shuffled, counted before; a hot source is many
+    blocks and a hot row one unit.
+    """
+    units = stored(_thin(docs, id, text, source, []).groupBy(*_UNIT).agg(F.count("*").alias("_n")))
+    got = _spread(mix_units(units, weights, most, block))
+    got = got.withColumn("copies", F.col("_base") + (F.col("_nth") < F.col("_extra")).cast("long"))
+    return got.select(
+        F.col("_id").cast(docs.schema[id].dataType).alias(id), F.col("_size").alias("size"), "source_size", "target",
+        (F.col("copies") * F.col("_size")).alias("taken"), "copies",
+    )
+
+
+def mix_rows(
+    docs: DataFrame, row: str, id: str = "doc_id", text: str = "text", source: str = "source",
+    weights=WEIGHTS, most: float = MOST, block: int = BLOCK,
+) -> DataFrame:
+    """``mix`` for rows that must be found again: (``row``, copies); ``row`` differs in every row and can be ordered.
+
+    Of equal rows some are taken once more, by a hash of ``row``.
+    """
+    thin = stored(_thin(docs, id, text, source, [row]))
+    drawn = stored(mix_units(thin.groupBy(*_UNIT).agg(F.count("*").alias("_n")), weights, most, block))
+    same = lambda a, b: F.expr(" and ".join(f"{a}.{k} <=> {b}.{k}" for k in _UNIT))
+    own = thin.alias("t").join(drawn.alias("d"), same("t", "d"))
+    own = stored(own.select("t._c0", *[f"d.{k}" for k in _UNIT], "d._n", "d._base", "d._extra"))
+    split = (F.col("_extra") > 0) & (F.col("_extra") < F.col("_n"))
+    # units of which a part is taken once more: numbered within cells of a bounded size, cells in order
+    part = own.filter(split).withColumn("_r", F.pmod(F.xxhash64("_c0"), F.lit(1 << 24)))
+    part = part.withColumn("_cell", F.floor(F.col("_r") * F.ceil(F.col("_n") / _PIECE) / (1 << 24)))
+    before = Window.partitionBy(*_UNIT).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = part.groupBy(*_UNIT, "_cell").agg(F.count("*").alias("_in")).withColumn("_ahead", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy(*_UNIT, "_cell").orderBy("_r", "_c0")) - 1
+    ranked = part.withColumn("_nth", nth).alias("p").join(cells.alias("c"), same("p", "c") & F.expr("p._cell = c._cell"))
+    some = ranked.select("p._c0", (F.col("p._base") + (F.col("p._nth") + F.col("c._ahead") < F.col("p._extra")).cast("long")).alias("copies"))
+    rest = own.filter(~split).select("_c0", (F.col("_base") + (F.col("_extra") > 0).cast("long")).alias("copies"))
+    return rest.unionByName(some).withColumnRenamed("_c0", row)

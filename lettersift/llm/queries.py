@@ -45,7 +45,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lettersift.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).drop("row")
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

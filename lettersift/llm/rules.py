@@ -17,15 +17,17 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 _LINE = np.ones(256, bool)
 _LINE[10] = False
 
-#: metric: (reject above the upper fence, reject below the lower fence, slack)
+#: metric: (reject above the upper fence, reject below the lower fence, units that one event touches, units)
 METRICS = {
-    "symbol_rate": (True, False, 100),
-    "dup_line_rate": (True, False, 200),
-    "repeat_rate": (True, False, 200),
-    "word_length": (True, True, 100),
+    "symbol_rate": (True, False, 1, "n_words"),
+    "dup_line_rate": (True, False, 1, "n_lines"),
+    "repeat_rate": (True, False, 6, "n_words"),
+    "word_length": (True, True, 0, "n_words"),
 }
-#: widths of interquartile range beyond the quartiles
-REACH = 3
+#: sizes whose median tells how much one event weighs in a group
+SIZES = ("n_words", "n_lines")
+#: widths of interquartile range, and of one event, beyond the quartiles
+REACH = 4
 #: groups with fewer rows take the thresholds of their language, then of all
 LEAST_ROWS = 30
 
@@ -120,18 +122,23 @@ def quantiles(sketch: DataFrame, group: list[str], qs: dict[str, float]) -> Data
 
 
 def fences(sketch: DataFrame, group: list[str], reach: int = REACH) -> DataFrame:
-    """One row per group: lower and upper fence of every metric."""
-    q = quantiles(sketch, group, {"q1": 0.25, "q3": 0.75})
-    slack = F.create_map(*[F.lit(v) for m, (_, _, s) in METRICS.items() for v in (m, s)])[F.col("metric")]
-    gap = F.col("q3") - F.col("q1")
-    q = q.select(
-        *group, "metric", "n_rows",
-        (F.col("q1") - reach * gap - slack).alias("low"), (F.col("q3") + reach * gap + slack).alias("high"),
-    )
+    """One row per group: lower and upper fence of every metric.
+
+    A fence is ``reach`` times the interquartile range beyond the quartile, and
+    ``reach`` events more, as a rate of the group's median size: where most
+    texts have no event and the range is 0, the fence still follows how long
+    the group's texts are.
+    """
+    q = quantiles(sketch, group, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    return q.groupBy(*group).agg(
-        F.max("n_rows").alias("n_rows"), *[pick(m, c).alias(f"{m}_{c}") for m in METRICS for c in ("low", "high")]
+    wide = q.groupBy(*group).agg(
+        F.max("n_rows").alias("n_rows"), *[pick(m, c).alias(f"_{m}_{c}") for m in METRICS for c in ("q1", "q3")], *[pick(m, "q2").alias(f"_{m}") for m in SIZES]
     )
+    bounds = []
+    for m, (_, _, events, size) in METRICS.items():
+        beyond = reach * (F.col(f"_{m}_q3") - F.col(f"_{m}_q1") + F.floor(F.lit(1000 * events) / F.greatest(F.col(f"_{size}"), F.lit(1))))
+        bounds += [(F.col(f"_{m}_q1") - beyond).alias(f"{m}_low"), (F.col(f"_{m}_q3") + beyond).alias(f"{m}_high")]
+    return wide.select(*group, "n_rows", *bounds)
 
 
 def adaptive_rules(
@@ -142,10 +149,10 @@ def adaptive_rules(
 
     Base rules: under 50 words, or over half of the words in repeated 3-word
     windows, fail.  The others pass if each metric lies within
-    Q1 - reach * IQR - slack and Q3 + reach * IQR + slack of its group, where
-    the quartiles come from mergeable sketches over all documents of the group
-    that pass the base rules (of the language, then of everything, for groups
-    under ``least_rows``).
+    Q1 - reach * (IQR + event) and Q3 + reach * (IQR + event) of its group: the
+    quartiles, and the median size that gives the rate of one event, come from
+    mergeable sketches over all documents of the group that pass the base rules
+    (of the language, then of everything, for groups under ``least_rows``).
 
     Null and empty texts have no words and fail.  Null languages and sources
     are groups of their own.  Repeated rows are judged alike, one row each; an
@@ -169,7 +176,7 @@ def adaptive_rules(
             }
         )
     )
-    fine = stored(sketches(m.filter(~F.col("base_failed")), ["_lang", "_source"], list(METRICS)))
+    fine = stored(sketches(m.filter(~F.col("base_failed")), ["_lang", "_source"], [*METRICS, *SIZES]))
     by_lang = fine.groupBy("_lang", "metric", "bucket").agg(F.sum("n").alias("n"))
     of_all = fine.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
     cols = [f"{x}_{c}" for x in METRICS for c in ("low", "high")]
@@ -189,7 +196,7 @@ def adaptive_rules(
     )
     out = salted_join(m, fence, ["_lang", "_source"], F.struct("_id", "word_chars", "n_words"))
     ok = ~F.col("base_failed")
-    for x, (above, below, _) in METRICS.items():
+    for x, (above, below, *_) in METRICS.items():
         if above:
             ok &= F.coalesce(F.col(x) <= F.col(f"{x}_high"), F.lit(True))
         if below:
@@ -204,20 +211,26 @@ def oracle(reach: int = REACH, least_rows: int = LEAST_ROWS) -> str:
     rates = {"symbol_rate": "1000 * n_symbols // greatest(n_words, 1)", "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)",
              "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "word_length": "100 * word_chars // greatest(n_words, 1)"}
     rate = ", ".join(f"{e} as {m}" for m, e in rates.items())
-    long = " union all ".join(f"select lang, source, '{m}' as metric, {m} as x from good" for m in METRICS)
-    slack = "case metric " + " ".join(f"when '{m}' then {s}" for m, (_, _, s) in METRICS.items()) + " end"
+    long = " union all ".join(f"select lang, source, '{m}' as metric, {m} as x from good" for m in (*METRICS, *SIZES))
+    grain = "case metric " + " ".join(f"when '{m}' then {1000 * e} // greatest({s}, 1)" for m, (_, _, e, s) in METRICS.items()) + " end"
 
     def fence(name: str, keys: str) -> str:
         group = f"{keys}, metric" if keys else "metric"
         part = f"partition by {group}"
+        same = " and ".join(f"q.{k} is not distinct from z.{k}" for k in keys.split(", ")) if keys else "true"
+        keyed = f"{keys}, " if keys else ""
+        sizes = ", ".join(f"max(q2) filter (where metric = '{m}') as {m}" for m in SIZES)
         return f"""
-{name}_q as (select {group}, max(total) as n_rows, min(bucket) filter (where upto >= total * 0.25) as q1, min(bucket) filter (where upto >= total * 0.75) as q3
+{name}_q as (select {group}, max(total) as n_rows, min(bucket) filter (where upto >= total * 0.25) as q1, min(bucket) filter (where upto >= total * 0.5) as q2,
+        min(bucket) filter (where upto >= total * 0.75) as q3
     from (select {group}, bucket, sum(n) over ({part} order by bucket) as upto, sum(n) over ({part}) as total
           from (select {group}, bucket, sum(n) as n from sketch group by {group}, bucket)) group by {group}),
-{name} as (select {group}, n_rows, q1 - {reach} * (q3 - q1) - {slack} as low, q3 + {reach} * (q3 - q1) + {slack} as high from {name}_q)"""
+{name}_z as (select {keyed}{sizes} from {name}_q {"group by " + keys if keys else ""}),
+{name} as (select {", ".join("q." + k for k in group.split(", "))}, n_rows, q1 - {reach} * (q3 - q1 + {grain}) as low, q3 + {reach} * (q3 - q1 + {grain}) as high
+    from {name}_q q join {name}_z z on {same} where metric in ({", ".join(f"'{m}'" for m in METRICS)}))"""
 
     verdicts = []
-    for m, (above, below, _) in METRICS.items():
+    for m, (above, below, *_) in METRICS.items():
         verdicts += [f"coalesce({m} <= {m}_high, true)"] if above else []
         verdicts += [f"coalesce({m} >= {m}_low, true)"] if below else []
     bounds = ", ".join(f"max({c}) filter (where metric = '{m}') as {m}_{c}" for m in METRICS for c in ("low", "high"))
