@@ -115,14 +115,34 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
+def settle(p: np.ndarray, wanted: np.ndarray, size: np.ndarray, most: int = 8) -> np.ndarray:
+    """Change at most ``most`` decided units so that the words come nearest to what ``wanted`` asks for.
+
+    A long document in the landing can miss the words by half its size; each
+    change takes or leaves the unit whose size is nearest to what is missing.
+    Only units that were open change.
+    """
+    p = p.copy()
+    free = (wanted > _EPS) & (wanted < 1 - _EPS) & (size > 0)
+    for _ in range(most):
+        miss = float((wanted * size).sum() - (p * size).sum())
+        k = np.flatnonzero(free & (p == (0.0 if miss > 0 else 1.0)))
+        if not len(k):
+            break
+        k = k[np.argmin(np.abs(size[k] - abs(miss)))]
+        if abs(abs(miss) - size[k]) >= abs(miss):
+            break
+        p[k] = 1.0 - p[k]
+    return p
+
+
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
-    # long documents first, so that those left for the landing are short
-    pdf = pdf.sort_values(["_size", "_h"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["_h", "_size"], kind="stable").reset_index(drop=True)
     pick = K.mix(pdf["_h"].to_numpy(np.int64).view(np.uint64)) / 2.0**64
     p = pdf["_p"].to_numpy(float)
     p = flight(p, pdf["_size"].to_numpy(), pick)
     if (pdf["_blocks"] <= 1).all():
-        p = land(p, pdf["_size"].to_numpy())
+        p = settle(land(p, pdf["_size"].to_numpy()), pdf["_p"].to_numpy(float), pdf["_size"].to_numpy())
     return pdf.assign(_p=p)
 
 
@@ -206,8 +226,8 @@ def mix(
     once more for a balanced sample with the fraction as inclusion probability:
     the cube method runs in blocks of about ``block`` documents, each leaves at
     most two open units, those fly again together until one block per source is
-    left, and its two or fewer units land.  Long documents fly first, so words
-    and documents of each source miss their totals by a landing of short ones.
+    left, and its two or fewer units land; a few others change with them where
+    that brings the words nearer to what they should be.
 
     Returns (id, size, source_size, target, taken, copies), a row per input
     row.  Null and empty texts have size 0; they are sampled like others and
