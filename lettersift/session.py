@@ -26,11 +26,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set.
+    Only where the session names none and runs on one machine, as in tests, a
+    temporary folder is made and set; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lettersift-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
