@@ -57,7 +57,10 @@ def resolve(expr: str, base: datetime, now: datetime, end: bool) -> datetime:
     if kind == "S":
         if g["u"] not in _SCALE:
             raise DateError(f"unrecognised scale '{g['u']}'")
-        return now - timedelta(days=int(g["v"]) * _SCALE[g["u"]])
+        try:
+            return now - timedelta(days=int(g["v"]) * _SCALE[g["u"]])
+        except OverflowError as e:
+            raise DateError(f"[{expr}] is too far back") from e
     if g.get("m"):
         month = _MONTHS.get(g["m"].lower())
         if month is None:

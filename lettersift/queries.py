@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lettersift.functions.tokens import address_tokens, fold, html_tokens
 from lettersift.operators import index as I
-from lettersift.operators.maintenance import changes, first_failures
+from lettersift.operators.maintenance import changes, empty_index, first_failures, purge
 from lettersift.operators.numbering import dense_numbers
 from lettersift.operators.offsets import running_offsets
 from lettersift.operators.threads import thread_roots, threads
@@ -216,10 +216,11 @@ def conversation_messages(spark, sf_dir):
 def conversation_ids(spark, sf_dir):
     """Each turn has an id of its own and names the one before."""
     rows = conversation_messages(spark, sf_dir)
-    own = F.concat_ws(".", "conv_id", "turn")
-    back = F.concat_ws(".", "conv_id", F.col("turn") - 1)
-    each = F.explode(F.array(F.struct(own.alias("token"), F.lit(True).alias("is_own")), F.struct(back.alias("token"), F.lit(False).alias("is_own"))))
-    return rows.select("msg_id", each.alias("e")).select("e.token", "msg_id", "e.is_own").groupBy("token", "msg_id").agg(F.max("is_own").alias("is_own"))
+    own = F.format_string("<%d.%d>", "conv_id", "turn")
+    back = F.format_string("<%d.%d>", F.col("conv_id"), F.col("turn") - 1)
+    none = F.lit(None).cast("string")
+    heads = F.array(F.struct(own.alias("message_id"), back.alias("in_reply_to"), none.alias("references")))
+    return I.id_postings(rows.select("msg_id", heads.alias("headers")))
 
 
 @query("agg_two_chains", "select token, count(*) as n_msgs, count(*) filter (where own) as n_own from (select conv_id || '.' || turn as token, true as own from conversations union all select conv_id || '.' || (turn - 1), false from conversations) group by token")
@@ -267,8 +268,12 @@ def mnt_first_failure(spark, sf_dir):
 
 @query("mnt_purge", "select doc_id, row_number() over (order by doc_id) - 1 as msg_id from documents where doc_id not in (select doc_id from labels where quality = 0)")
 def mnt_purge(spark, sf_dir):
-    dead = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
-    return dense_numbers(table(spark, sf_dir, "documents").select("doc_id").join(dead, "doc_id", "left_anti"), "doc_id", "msg_id").select("doc_id", "msg_id")
+    dead = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id", F.lit(True).alias("_dead")).distinct()
+    docs = table(spark, sf_dir, "documents").join(dead, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").alias("msg_id"), F.when(F.col("_dead"), "DEAD").otherwise("FILE").alias("type"), F.col("doc_id").cast("string").alias("path"))
+    empty = empty_index(spark)
+    empty.messages = empty.messages.drop("msg_id", "type", "path").join(rows, F.lit(False), "right").select(*empty.messages.columns)
+    return purge(empty).messages.select(F.col("path").cast("long").alias("doc_id"), "msg_id")
 
 
 @query("mnt_integrity", "select 'duplicate path' as rule, md5(text) as subject, count(*) as n from documents group by 2 having count(*) > 1")

@@ -6,12 +6,14 @@ import base64
 import binascii
 import quopri
 import re
-from datetime import datetime, timezone, tzinfo
+from datetime import datetime, timedelta, timezone, tzinfo
 
 _MONTHS = {m: k for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 _FIELD = re.compile(rb"[!-9;-~]+[ \t]*:")
 _ENCODED = re.compile(rb"=\?[^?\s]*\?([QqBb])\?([^?\s]*)\?=")
-_DATE = re.compile(r"(?:[A-Za-z]+\s*,?\s*)?(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\s+(\d{1,4})")
+_DATE = re.compile(r"\s*([0-9]+)\s*(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\S*\s+([0-9]++)\s*\S", re.I)
+#: beginnings of the names of transfer encodings
+_PLAIN = ("7bit", "7-bit", "7 bit", "8bit", "8-bit", "8 bit", "binary")
 _DEPTH = 32
 
 
@@ -100,16 +102,17 @@ def parameters(value: bytes) -> tuple[str, dict[str, bytes]]:
     return main.strip().decode("latin-1").lower(), got
 
 
-def transfer_decode(body: bytes, encoding: str) -> bytes:
-    """The named transfer decoding; one that isn't known leaves nothing."""
-    if encoding in ("", "7bit", "8bit", "binary"):
+def transfer_decode(body: bytes, encoding: str | None) -> bytes:
+    """The named transfer decoding, told by how the name begins; one that isn't known leaves nothing."""
+    name = None if encoding is None else encoding.lstrip().lower()
+    if name is None or name.startswith(_PLAIN):
         return body
-    if encoding == "quoted-printable":
+    if name.startswith("quoted-printable"):
         return quopri.decodestring(body)
-    if encoding == "base64":
+    if name.startswith("base64"):
         letters = re.sub(rb"[^A-Za-z0-9+/]", b"", body)
         return base64.b64decode(letters[: len(letters) - (len(letters) % 4 == 1)] + b"=" * (-len(letters) % 4))
-    if encoding in ("x-uuencode", "uuencode", "x-uue"):
+    if name.startswith("x-uuencode"):
         out, on = [], False
         for line in body.splitlines():
             if line.startswith(b"begin "):
@@ -126,17 +129,21 @@ def transfer_decode(body: bytes, encoding: str) -> bytes:
 
 
 def parse_date(value: str, zone: tzinfo = timezone.utc) -> int:
-    """Epoch seconds of the day's local midnight; -1 if it can't be read."""
-    m = _DATE.search(value)
-    if not m or m[2].lower() not in _MONTHS or not 1 <= int(m[1]) <= 31:
+    """Epoch seconds of the day's local midnight; -1 if it can't be read.
+
+    The day stands first or right behind the first comma, and something follows
+    the year.
+    """
+    m = _DATE.match(value.partition(",")[2] if "," in value else value)
+    if not m or int(m[1]) > 31:
         return -1
     year = int(m[3])
     year = year + 2000 if year < 70 else year if year >= 1900 else year + 1900
     try:
-        first = datetime(year, _MONTHS[m[2].lower()], 1, tzinfo=zone)
-    except ValueError:
+        day = datetime(year, _MONTHS[m[2].lower()], 1, tzinfo=zone) + timedelta(days=int(m[1]) - 1)
+        return int(day.timestamp())
+    except (ValueError, OverflowError):
         return -1
-    return int(first.timestamp()) + (int(m[1]) - 1) * 86400
 
 
 def _headers(lines: list[bytes], depth: int, zone: tzinfo) -> tuple[dict, dict[str, bytes]]:
@@ -171,8 +178,8 @@ def _part(body: bytes, mime: dict[str, bytes], depth: int, zone: tzinfo, headers
         return _multipart(body, args["boundary"], depth, zone, headers, parts)
     place, more = parameters(mime.get("content-disposition", b""))
     name = (more.get("filename") or args.get("name")) if place == "attachment" else None
-    encoding = mime.get("content-transfer-encoding", b"").split(b";")[0].strip().decode("latin-1").lower()
-    data = transfer_decode(body, encoding)
+    encoding = mime.get("content-transfer-encoding")
+    data = transfer_decode(body, None if encoding is None else encoding.decode("latin-1"))
     whole = True
     if kind == "message/rfc822" and depth < _DEPTH:
         parts.append({"depth": depth, "ctype": kind, "filename": as_text(name), "body": None})

@@ -70,6 +70,10 @@ def split_mailbox(data: bytes, whole: Callable[[bytes], bool] | None = None) ->
     return out
 
 
+def compressed(path: str) -> bool:
+    return path.lower().endswith((".gz", ".bz2", ".xz"))
+
+
 def decompress(path: str, data: bytes) -> bytes:
     """By suffix, whatever its case."""
     name = path.lower()

@@ -6,7 +6,11 @@ from collections.abc import Iterator
 from hashlib import md5
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from lettersift.schemas import PARSED
 from lettersift.sources.folders import Found
@@ -17,8 +21,8 @@ from lettersift.sources.mailbox import decompress, split_mailbox
 _FILES = "kind string, path string, mtime long, size long"
 
 
-def _row(kind: str, path: str, mtime: int, data: bytes, ordinal: int | None, offset: int | None) -> dict:
-    ok, _, headers, parts = parse_message(data)
+def _row(kind: str, path: str, mtime: int, data: bytes, ordinal: int | None, offset: int | None, parsed: tuple | None = None) -> dict:
+    ok, _, headers, parts = parsed or parse_message(data)
     if kind == "FILE" and headers:
         headers[0] |= file_flags(path)
     return {
@@ -38,8 +42,23 @@ def messages_of(kind: str, path: str, mtime: int, server: Server | None = None)
     if kind == "FILE":
         yield _row(kind, path, mtime, data, None, None)
         return
-    for k, (a, b) in enumerate(split_mailbox(data, lambda d: parse_message(d)[1])):
-        yield _row(kind, path, mtime, data[a:b], k, a)
+    yield from _mailbox_rows(path, mtime, data)
+
+
+def _mailbox_rows(path: str, mtime: int, data: bytes) -> Iterator[dict]:
+    """Rows of a mailbox's messages; what splitting had to parse isn't parsed again."""
+    seen: dict[int, tuple] = {}
+
+    def whole(d: bytes) -> bool:
+        got = parse_message(d)
+        seen[hash(d)] = (d, got)
+        return got[1]
+
+    for k, (a, b) in enumerate(split_mailbox(data, whole)):
+        d = data[a:b]
+        own, got = seen.get(hash(d), (None, None))
+        yield _row("MBOX", path, mtime, d, k, a, got if own == d else None)
+        seen.clear()
 
 
 def files_frame(spark: SparkSession, found: list[Found]) -> DataFrame:
@@ -69,3 +88,34 @@ def read_mail(files: DataFrame, imap: dict[str, str] | None = None) -> DataFrame
         server.close()
 
     return files.mapInPandas(run, PARSED)
+
+
+def parse_table(rows: DataFrame, raw: str, keys: list[str], path: str | None = None, mailbox: bool = False) -> DataFrame:
+    """Messages that a table holds: ``keys``, and PARSED's columns from ordinal on, for the bytes in ``raw``.
+
+    A row is one message, or with ``mailbox`` a mailbox of messages.  ``path``
+    names a column of file names, whose flags count.  A null has no message.
+    """
+    names = [f for f in PARSED.names if f not in ("type", "path", "mtime")]
+    kinds = {f.name: f for f in rows.schema}
+    own = StructType([*[kinds[k] for k in keys], *[PARSED[n] for n in names]])
+    arrow = {n: to_arrow_type(PARSED[n].dataType) for n in names}
+    wanted = [*keys, raw, *([path] if path else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            data = batch.column(len(keys)).to_pylist()
+            paths = batch.column(len(keys) + 1).to_pylist() if path else [""] * len(data)
+            for k, (d, p) in enumerate(zip(data, paths)):
+                if d is None:
+                    continue
+                got = list(_mailbox_rows("", 0, d)) if mailbox else [_row("FILE", p or "", 0, d, None, None)]
+                out += got
+                at += [k] * len(got)
+            held = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*held.columns[: len(keys)], *[pa.array([r[n] for r in out], arrow[n]) for n in names]], names=[*keys, *names]
+            )
+
+    return rows.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, own)

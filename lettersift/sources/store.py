@@ -46,10 +46,10 @@ def unlock(spark: SparkSession, path: str) -> bool:
 
 
 def write_index(spark: SparkSession, index: Index, path: str) -> str:
-    """Write a new snapshot, then swing the pointer by a rename; readers see the old one or the new one.
+    """Write a new snapshot, then swing the pointer by a rename over it; readers see the old one or the new one.
 
     Postings are ranged by field and token, so that a word prunes to few row
-    groups.
+    groups.  The snapshot before stays for those who read it; older ones go.
     """
     name = f"snapshot-{uuid.uuid4().hex}"
     for t in _TABLES:
@@ -63,18 +63,28 @@ def write_index(spark: SparkSession, index: Index, path: str) -> str:
     out.write(bytearray(json.dumps({"version": FORMAT_VERSION, "snapshot": name}).encode()))
     out.close()
     current = P(f"{path}/CURRENT")
-    if fs.exists(current):
-        fs.delete(current, False)
-    fs.rename(fresh, current)
+    before = _head(spark, path)["snapshot"] if fs.exists(current) else None
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    mode = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(mode, 1)
+    how[0] = mode.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(current), how)
+    for s in fs.listStatus(P(path)):
+        old = s.getPath().getName()
+        if old.startswith("snapshot-") and old not in (name, before):
+            fs.delete(s.getPath(), True)
     return name
 
 
+def _head(spark: SparkSession, path: str) -> dict:
+    return json.loads("".join(r[0] for r in spark.read.text(f"{path}/CURRENT").collect()))  # one line
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     fs, P = _fs(spark, path)
     if not fs.exists(P(f"{path}/CURRENT")):
         raise NoIndex(path)
-    text = "".join(r[0] for r in spark.read.text(f"{path}/CURRENT").collect())  # one line
-    head = json.loads(text)
+    head = _head(spark, path)
     if head.get("version") != FORMAT_VERSION:
         raise NoIndex(f"{path} has format {head.get('version')}; rebuild it")
     return Index(**{t: spark.read.schema(s).parquet(f"{path}/{head['snapshot']}/{t}") for t, s in _TABLES.items()})

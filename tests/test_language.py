@@ -115,7 +115,7 @@ def test_parser():
 
 
 def test_mail_dates_and_flags():
-    assert parse_date("1 Jan 70") == 0 and parse_date("rubbish") == -1 and parse_date("1 Jan 2010") == parse_date("Fri, 1 Jan 110 09:00")
+    assert parse_date("1 Jan 70") == -1 and parse_date("1 Jan 70 0:00") == 0 and parse_date("rubbish") == -1 and parse_date("1 Jan 2010 1:00") == parse_date("Fri, 1 Jan 110 09:00") > 0 and parse_date("Fri 1 Jan 2010 9:00") == -1
     assert file_flags("x:2,FS") == {"seen": True, "replied": False, "flagged": True} and not any(file_flags("x").values())
 
 
