@@ -17,7 +17,7 @@ RULES = (
 )
 #: one of these rejects
 STRICT = (
-    "spam", "porn", "porno", "xxx", "xxxvideos", "sexcams", "hardcore", "escort", "escorts", "hookup", "casino", "casinos", "poker", "roulette", "jackpot",
+    "spam", "porn", "porno", "xxx", "xxxvideos", "sexcams", "hardcore", "escort", "escorts", "hookup", "casino", "poker", "roulette", "jackpot",
     "sportsbook", "viagra", "cialis", "levitra", "tramadol", "oxycontin", "steroids", "warez", "keygen", "keygens", "cracked", "nulled", "torrents", "hacked",
     "malware", "phishing", "botnet", "carding", "counterfeit", "fullz", "payday", "ponzi", "doorway", "linkfarm", "webcams",
 )

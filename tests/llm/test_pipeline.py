@@ -6,6 +6,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from lettersift.llm import gam
 from lettersift.llm.common import held_out
@@ -109,3 +111,18 @@ def test_run(spark, folder):
     out = P.run(spark, folder)
     assert out.columns[-2:] == ["shard", "slot"] and out.count() > 0
     assert [n for n, _ in P.STAGES] == ["quality", "near_dedup", "decontaminate", "mix", "shard"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_stages_on_clashing_and_empty_tables(spark, folder, docs, clashing, nothing, name):
+    """Columns called like the operators' own keep their values; an empty table gives no rows."""
+    stage = dict(P.STAGES)[name]
+    more = ("__row", "__copies", "__nth", "__n", "copies", "_metadata", "Shard")
+    wide = docs.select("*", *[F.lit("?").alias(c) for c in (*[c for c in clashing.columns if c not in docs.columns and c != "shard"], *more)])
+    plain, got = stage(spark, docs, folder), stage(spark, wide, folder)
+    kept = [c for c in wide.columns if name != "shard" or c.lower() not in ("shard", "slot")]
+    assert got.columns == kept + (["shard", "slot"] if name == "shard" else [])
+    own = docs.columns + (["shard"] if name == "shard" else [])
+    assert bag(got.select(*own)) == bag(plain.select(*own))
+    assert all(set(r) == {"?"} for r in got.select(*[f"`{c}`" for c in kept if c not in docs.columns]).distinct().collect())
+    assert stage(spark, nothing, folder).count() == 0
