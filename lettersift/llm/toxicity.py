@@ -237,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "d
 
     got = rows.select("_y", "_fold", "_text").mapInArrow(measure, "y int, x array<double>").toArrow()
     y = np.asarray(got["y"].to_numpy(), float)
-    x = np.array(got["x"].to_pylist()).reshape(len(y), -1)
+    x = np.array(got["x"].to_pylist()).reshape(len(y), WORST + len(CUTS) + 1)
     if 0 < y.sum() < len(y):
         # in one order, whatever the layout
         order = np.lexsort((*x.T, y))
