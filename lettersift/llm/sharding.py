@@ -83,7 +83,10 @@ def _split(units: DataFrame, nodes: dict[int, tuple[str, float, float]]) -> dict
 
 
 def kd_leaves(dims: np.ndarray, tie: np.ndarray, size: np.ndarray, n: int, scale: np.ndarray) -> np.ndarray:
-    """Leaf numbers from 0 to n - 1: the tree below a node that fits in a task, by the same law."""
+    """Leaf numbers from 0 to n - 1: the tree below a node that fits in a task, by the same law.
+
+    Spreads are compared to six places, so that the order of adding decides nothing.
+    """
     out = np.zeros(len(size), np.int64)
     todo = [(np.arange(len(size)), n, 0)]
     while todo:
@@ -95,7 +98,7 @@ def kd_leaves(dims: np.ndarray, tie: np.ndarray, size: np.ndarray, n: int, scale
         x = dims[at].astype(float)
         mean = (x * w[:, None]).sum(0) / w.sum()
         var = ((x - mean) ** 2 * w[:, None]).sum(0) / w.sum() / scale
-        d = max(range(len(DIMS)), key=lambda k: (var[k], DIMS[k]))
+        d = max(range(len(DIMS)), key=lambda k: (round(var[k], 6), DIMS[k]))
         o = at[np.lexsort((tie[at], dims[at, d]))]
         upto = np.cumsum(size[o])
         want = upto[-1] * (n // 2) / n
@@ -127,7 +130,7 @@ def _place(units: DataFrame, leaves: int, total: int, task_units: int) -> DataFr
             if n == 1 or k not in of or of[k]["n"] <= task_units:
                 done[k] = n
             else:
-                widest = max(DIMS, key=lambda d: (var(of[k], d) / scale[d], d))
+                widest = max(DIMS, key=lambda d: (round(var(of[k], d) / scale[d], 6), d))
                 nodes[k] = (widest, of[k]["w"] * (n // 2) / n, TOLERANCE * total / leaves)
         if not nodes:
             break

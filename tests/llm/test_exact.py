@@ -129,7 +129,7 @@ def brute_leaves(rows, n, scale):
         mean = sum(r[0][d] * r[2] for r in rows) / total
         return sum((r[0][d] - mean) ** 2 * r[2] for r in rows) / total / scale[d]
 
-    d = max(range(4), key=lambda k: (round(spread(k), 9), sharding.DIMS[k]))
+    d = max(range(4), key=lambda k: (round(spread(k), 6), sharding.DIMS[k]))
     rows = sorted(rows, key=lambda r: (r[0][d], r[1]))
     want = total * (n // 2) / n
     cut = min(range(len(rows) + 1), key=lambda k: (abs(sum(r[2] for r in rows[:k]) - want), -k))
