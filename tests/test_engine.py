@@ -12,6 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lettersift import mail_queries  # noqa: F401  registers its queries
 from lettersift import queries as Q
 from lettersift.cli import main
 from lettersift.functions.fuzzy import fuzzy
