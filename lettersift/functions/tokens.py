@@ -12,7 +12,8 @@ ADDRESS = r"[0-9a-z_+\-.@\x{80}-\x{10FFFF}]+"
 
 def fold(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
-    return F.translate(c, _UPPER, _LOWER)
+    # translate makes a string of each letter; where all is ASCII, lower does the same at once
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _LOWER))
 
 
 def to_nul(c: Column) -> Column:

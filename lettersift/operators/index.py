@@ -2,52 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettersift.functions.tokens import KINDS, address_tokens, fold, html_tokens, id_tokens, word_tokens
+from lettersift.session import sql_partitions, stored
 
 #: message ids of one posting list row; a hot token has many rows
 BLOCK = 1 << 16
+#: messages of a part in which the postings' rules are checked
+PART_MESSAGES = 2000
 
 
-def postings(rows: DataFrame, fields: dict[str, tuple[str, str]], id: str = "msg_id") -> DataFrame:
-    """Distinct (field, token, msg_id).  ``fields``: field -> (column, kind of KINDS).
+def distinct_by_id(post: Callable[[DataFrame], DataFrame], rows: DataFrame, id: str) -> DataFrame:
+    """``post`` of the rows without repeats, where it has none for one row.
 
-    One scan whatever the number of fields; duplicates within a row go before
-    the shuffle.
+    Only what rows of a repeated or null id give is compared, so that others are
+    never moved; the ids alone are counted ahead.
     """
-    tokens = F.array(
-        *[F.struct(F.lit(f).alias("field"), F.array_distinct(KINDS[k](F.coalesce(F.col(c), F.lit("")) if k != "name" else F.col(c))).alias("tokens")) for f, (c, k) in fields.items()]
-    )
-    return (
-        rows.select(F.col(id).alias("msg_id"), F.explode(tokens).alias("f"))
-        .select("f.field", F.explode("f.tokens").alias("token"), "msg_id")
-        .distinct()
-    )
-
+    again = rows.groupBy(F.col(id).alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1 or _again is null").select("_again")
+    if again.isEmpty():
+        return post(rows)
+    again = stored(again)
+    same = rows[id].eqNullSafe(again["_again"])
+    return post(rows.join(again, same, "left_anti")).unionByName(post(rows.join(again, same, "left_semi")).distinct())
 
 
+def postings(rows: DataFrame, fields: dict[str, tuple[str, str]], id: str = "msg_id", distinct: bool = True) -> DataFrame:
+    """Distinct (field, token, msg_id).  ``fields``: field -> (column, kind of KINDS).
 
+    One scan whatever the number of fields; duplicates within a row never leave
+    it.  Without ``distinct`` rows of one id may repeat each other's, which a
+    search doesn't mind.
+    """
+    if distinct:
+        return distinct_by_id(lambda some: postings(some, fields, id, False), rows, id)
+    cut = {f: F.array_distinct(KINDS[k](F.coalesce(F.col(c), F.lit("")) if k != "name" else F.col(c))) for f, (c, k) in fields.items()}
+    if len(cut) == 1:
+        # no list of tokens stays beside each of them, for filters in Python hold whole rows
+        [(f, tokens)] = cut.items()
+        return rows.select(F.lit(f).alias("field"), F.explode(tokens).alias("token"), F.col(id).alias("msg_id"))
+    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens.alias("tokens")) for f, tokens in cut.items()])
+    return rows.select(F.col(id).alias("msg_id"), F.explode(each).alias("f")).select("f.field", F.explode("f.tokens").alias("token"), "msg_id")
 
 
 def mail_postings(parsed: DataFrame, id: str = "msg_id") -> DataFrame:
-    """Postings of parsed mail: headers and parts of embedded messages count for the outer one."""
-    h = parsed.select(F.col(id).alias("msg_id"), F.explode("headers").alias("h")).select("msg_id", "h.*")
-    head = [F.struct(F.lit(f).alias("field"), F.array_distinct(address_tokens(F.coalesce(F.col(f"`{f}`"), F.lit("")))).alias("tokens")) for f in ("to", "cc", "from")]
-    head.append(F.struct(F.lit("subject").alias("field"), F.array_distinct(word_tokens(F.coalesce("subject", F.lit("")))).alias("tokens")))
-    heads = h.select("msg_id", F.explode(F.array(*head)).alias("f"))
-    p = parsed.select(F.col(id).alias("msg_id"), F.explode("parts").alias("p")).select("msg_id", "p.*")
-    text = F.coalesce("body", F.lit(""))
-    body = F.when(F.col("ctype") == "text/html", html_tokens(text)).when(F.col("ctype").startswith("text"), word_tokens(text))
+    """Postings of parsed mail: headers and parts of embedded messages count for the outer one.
+
+    One pass over the messages; repeats within one never leave it.  An id that
+    several rows have is for the caller to tell, see ``distinct_by_id``.
+    """
     none = F.array().cast("array<string>")
-    part = F.array(
-        F.struct(F.lit("body").alias("field"), F.array_distinct(F.coalesce(body, none)).alias("tokens")),
-        F.struct(F.lit("attachment_name").alias("field"), F.when(F.col("filename").isNotNull(), F.array(fold(F.col("filename")))).otherwise(none).alias("tokens")),
-    )
-    parts = p.select("msg_id", F.explode(part).alias("f"))
-    return heads.unionByName(parts).select("f.field", F.explode("f.tokens").alias("token"), "msg_id").distinct()
+    text = lambda c: F.coalesce(c, F.lit(""))
+
+    def field(name: str, rows: str, tokens: Callable[[Column], Column]) -> Column:
+        each = F.flatten(F.transform(rows, lambda x: F.coalesce(tokens(x), none)))
+        return F.struct(F.lit(name).alias("field"), F.array_distinct(each).alias("tokens"))
+
+    def body(p: Column) -> Column:
+        return F.when(p["ctype"] == "text/html", html_tokens(text(p["body"]))).when(p["ctype"].startswith("text"), word_tokens(text(p["body"])))
+
+    fields = [field(f, "headers", lambda h, f=f: address_tokens(text(h[f]))) for f in ("to", "cc", "from")]
+    fields.append(field("subject", "headers", lambda h: word_tokens(text(h["subject"]))))
+    fields.append(field("body", "parts", body))
+    fields.append(field("attachment_name", "parts", lambda p: F.when(p["filename"].isNotNull(), F.array(fold(p["filename"])))))
+    rows = parsed.select(F.col(id).alias("msg_id"), F.explode(F.array(*fields)).alias("f"))
+    return rows.select("f.field", F.explode("f.tokens").alias("token"), "msg_id")
 
 
 def id_postings(parsed: DataFrame, id: str = "msg_id") -> DataFrame:
@@ -70,19 +93,26 @@ def posting_lists(post: DataFrame, block: int = BLOCK) -> DataFrame:
     return post.groupBy("field", "token", part).agg(F.array_sort(F.collect_set("msg_id")).alias("msg_ids"))
 
 
-def gaps(post: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(field, token, msg_id, gap): the id itself for a token's first message, then differences.
+def _steps(post: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(field, token, _b, msg_id, _gap): differences within blocks of ids, null for a block's first one.
 
-    Differences across blocks come from the blocks' ends, so a token of very many
-    messages is many window groups.
+    A token of very many messages is many window groups.
     """
     rows = post.withColumn("_b", F.floor(F.col("msg_id") / block))
-    ends = rows.groupBy("field", "token", "_b").agg(F.max("msg_id").alias("_max"))
-    before = F.lag("_max").over(Window.partitionBy("field", "token").orderBy("_b"))
-    ends = ends.select("field", "token", "_b", before.alias("_before"))
     prev = F.lag("msg_id").over(Window.partitionBy("field", "token", "_b").orderBy("msg_id"))
-    got = rows.withColumn("_prev", prev).join(ends, ["field", "token", "_b"])
-    return got.select("field", "token", "msg_id", (F.col("msg_id") - F.coalesce("_prev", "_before", F.lit(0))).alias("gap"))
+    return rows.select("field", "token", "_b", "msg_id", (F.col("msg_id") - prev).alias("_gap"))
+
+
+def _lists(steps: DataFrame) -> DataFrame:
+    """(field, token, n_msgs, n_bytes, _gap): a row for each block of a token's list, with the difference that leads to it.
+
+    Only these rows are compared across blocks.
+    """
+    inner = F.coalesce(F.sum(F.when(F.col("_gap").isNotNull(), gap_bytes(F.col("_gap")))), F.lit(0))
+    rows = steps.groupBy("field", "token", "_b").agg(F.min("msg_id").alias("_first"), F.max("msg_id").alias("_last"), F.count("*").alias("n_msgs"), inner.alias("_inner"))
+    before = F.lag("_last").over(Window.partitionBy("field", "token").orderBy("_b"))
+    rows = rows.withColumn("_gap", F.col("_first") - F.coalesce(before, F.lit(0)))
+    return rows.select("field", "token", "n_msgs", (F.col("_inner") + gap_bytes(F.col("_gap"))).alias("n_bytes"), "_gap")
 
 
 def gap_bytes(gap: Column) -> Column:
@@ -91,7 +121,7 @@ def gap_bytes(gap: Column) -> Column:
 
 def posting_bytes(post: DataFrame) -> DataFrame:
     """Bytes of each token's list as variable-length differences."""
-    return gaps(post).groupBy("field", "token").agg(F.sum(gap_bytes(F.col("gap"))).alias("n_bytes"), F.count("*").alias("n_msgs"))
+    return _lists(_steps(post)).groupBy("field", "token").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_msgs").alias("n_msgs"))
 
 
 def frequencies(post: DataFrame) -> DataFrame:
@@ -99,25 +129,37 @@ def frequencies(post: DataFrame) -> DataFrame:
     return post.groupBy("field", "token").agg(F.count("*").alias("n_msgs"))
 
 
-def _histogram(values: DataFrame, name: str) -> DataFrame:
-    n = values.groupBy("value").agg(F.sum("n").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy())
-    return n.select(F.lit(name).alias("measure"), "value", "n", F.floor(256 * upto / total).alias("share_256"))
+def _shares(counts: DataFrame) -> DataFrame:
+    """Adds ``share_256`` to (measure, value, n): 256ths of the measure's total up to the value.
+
+    Values are range-partitioned, and a part's sum is one row, so no window runs
+    over all values.
+    """
+    parts = sql_partitions(counts.sparkSession)
+    cut = stored(counts.repartitionByRange(parts, "measure", "value").withColumn("_part", F.spark_partition_id()))
+    sums = cut.groupBy("measure", "_part").agg(F.sum("n").alias("_s"))
+    ahead = Window.partitionBy("measure").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("measure", "_part", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_start"), F.sum("_s").over(Window.partitionBy("measure")).alias("_total"))
+    upto = F.sum("n").over(Window.partitionBy("measure", "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    # a row for each measure and part
+    got = cut.withColumn("_upto", upto).join(F.broadcast(sums), ["measure", "_part"])
+    return got.select("measure", "value", "n", F.floor(256 * (F.col("_start") + F.col("_upto")) / F.col("_total")).alias("share_256"))
 
 
 def statistics(post: DataFrame) -> DataFrame:
     """Histograms of token length, list bytes and differences, with cumulative 256ths.
 
-    The window without a key runs over one row per distinct value.
+    The postings are moved once; what they give is stored and counted from there.
     """
-    one = F.lit(1).cast("long").alias("n")
-    per = posting_bytes(post)
-    return (
-        _histogram(per.select(F.octet_length("token").cast("long").alias("value"), one), "token_length")
-        .unionByName(_histogram(per.select(F.col("n_bytes").alias("value"), one), "list_bytes"))
-        .unionByName(_histogram(gaps(post).select(F.col("gap").alias("value"), one), "gap"))
-    )
+    steps = stored(_steps(post))
+    lists = stored(_lists(steps))
+    per = lists.groupBy("field", "token").agg(F.sum("n_bytes").alias("n_bytes"))
+    two = F.array(F.struct(F.lit("token_length").alias("measure"), F.octet_length("token").cast("long").alias("value")), F.struct(F.lit("list_bytes").alias("measure"), F.col("n_bytes").alias("value")))
+    values = per.select(F.explode(two).alias("v")).select("v.*").withColumn("n", F.lit(1).cast("long"))
+    inner = steps.filter("_gap is not null").groupBy(F.col("_gap").alias("value")).agg(F.count("*").alias("n"))
+    across = lists.groupBy(F.col("_gap").alias("value")).agg(F.count("*").alias("n"))
+    gap = inner.unionByName(across).select(F.lit("gap").alias("measure"), "value", "n")
+    return _shares(values.unionByName(gap).groupBy("measure", "value").agg(F.sum("n").alias("n")))
 
 
 def mbox_counts(messages: DataFrame) -> DataFrame:
@@ -141,8 +183,13 @@ def violations(messages: DataFrame, post: DataFrame) -> DataFrame:
     """Broken rules: repeated live paths, repeated postings, postings without a message."""
     live = messages.filter((F.col("type") != "DEAD") & (F.col("type") != "MBOX"))
     paths = live.groupBy("type", "path").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate path").alias("rule"), F.col("path").alias("subject"), "n")
-    twice = post.groupBy("field", "token", "msg_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate posting").alias("rule"), F.col("token").alias("subject"), "n")
-    lost = post.join(messages.select("msg_id"), "msg_id", "left_anti").groupBy("token").agg(F.count("*").alias("n")).select(F.lit("unknown message").alias("rule"), F.col("token").alias("subject"), "n")
+    known = messages.select("msg_id").distinct().withColumn("_known", F.lit(True))
+    # by message, in parts of as many messages whatever their number: both rules need no other move, and no part grows with the table
+    parts = max(sql_partitions(post.sparkSession), messages.count() // PART_MESSAGES)
+    each = post.repartition(parts, "msg_id").groupBy("msg_id", "field", "token").agg(F.count("*").alias("n"))
+    each = stored(each.join(known.repartition(parts, "msg_id").hint("shuffle_hash"), "msg_id", "left").filter("n > 1 or _known is null"))
+    twice = each.filter("n > 1").select(F.lit("duplicate posting").alias("rule"), F.col("token").alias("subject"), "n")
+    lost = each.filter("_known is null").groupBy("token").agg(F.sum("n").alias("n")).select(F.lit("unknown message").alias("rule"), F.col("token").alias("subject"), "n")
     return paths.unionByName(twice).unionByName(lost)
 
 

@@ -44,12 +44,12 @@ def doc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.postings(table(spark, sf_dir, "documents"), {"body": ("text", "word")}, "doc_id")
+def doc_postings(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    return I.postings(table(spark, sf_dir, "documents"), {"body": ("text", "word")}, "doc_id", distinct)
 
 
 def _found(spark: SparkSession, sf_dir: str, *args: str) -> DataFrame:
-    got = search(doc_messages(spark, sf_dir), doc_postings(spark, sf_dir), list(args))
+    got = search(doc_messages(spark, sf_dir), doc_postings(spark, sf_dir, False), list(args))
     return got.select(F.col("msg_id").alias("doc_id"), F.col("size").alias("n_chars"))
 
 
@@ -154,14 +154,14 @@ def flt_fuzzy_anchored(spark, sf_dir):
 @query("flt_path", "select page_id, url from pages where contains(url, 'example.org')")
 def flt_path(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("msg_id"), F.lit("FILE").alias("type"), F.col("url").alias("path"))
-    got = search(pages, doc_postings(spark, sf_dir), ["p:example.org"])
+    got = search(pages, doc_postings(spark, sf_dir, False), ["p:example.org"])
     return got.select(F.col("msg_id").alias("page_id"), F.col("path").alias("url"))
 
 
 @query("flt_own_id", "select conv_id, turn from conversations where conv_id || '.' || turn = '3.1'")
 def flt_own_id(spark, sf_dir):
     ids = conversation_ids(spark, sf_dir)
-    got = search(conversation_messages(spark, sf_dir), doc_postings(spark, sf_dir), ["m:3.1"], ids)
+    got = search(conversation_messages(spark, sf_dir), doc_postings(spark, sf_dir, False), ["m:3.1"], ids)
     return got.select("conv_id", "turn")
 
 
@@ -173,14 +173,14 @@ def flt_size(spark, sf_dir):
 @query("flt_date_period", "select o_orderkey from orders where epoch(o_orderdate) > epoch(timestamp '1996-03-31 23:59:59') and epoch(o_orderdate) < epoch(timestamp '1998-06-30 23:59:59')")
 def flt_date_period(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("msg_id"), F.unix_timestamp(F.col("o_orderdate")).alias("date"))
-    got = search(rows, doc_postings(spark, sf_dir), ["d:31mar96-jun98"], now=datetime(2003, 5, 18, 12, tzinfo=timezone.utc))
+    got = search(rows, doc_postings(spark, sf_dir, False), ["d:31mar96-jun98"], now=datetime(2003, 5, 18, 12, tzinfo=timezone.utc))
     return got.select(F.col("msg_id").alias("o_orderkey"))
 
 
 @query("flt_date_relative", "select event_id from events where epoch(ts) >= epoch(timestamp '2024-01-18 12:00:00') + 1")
 def flt_date_relative(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("msg_id"), F.unix_timestamp(F.col("ts")).alias("date"))
-    got = search(rows, doc_postings(spark, sf_dir), ["d:2w-"], now=datetime(2024, 2, 1, 12, tzinfo=timezone.utc))
+    got = search(rows, doc_postings(spark, sf_dir, False), ["d:2w-"], now=datetime(2024, 2, 1, 12, tzinfo=timezone.utc))
     return got.select(F.col("msg_id").alias("event_id"))
 
 
@@ -189,7 +189,7 @@ def flt_flags(spark, sf_dir):
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     rows = table(spark, sf_dir, "documents").select("doc_id").join(marks, "doc_id", "left")
     rows = rows.select(F.col("doc_id").alias("msg_id"), F.coalesce(F.col("q") == 1, F.lit(False)).alias("seen"), F.coalesce(F.col("t") == 1, F.lit(False)).alias("flagged"))
-    return search(rows, doc_postings(spark, sf_dir), ["F:s-f"]).select(F.col("msg_id").alias("doc_id"))
+    return search(rows, doc_postings(spark, sf_dir, False), ["F:s-f"]).select(F.col("msg_id").alias("doc_id"))
 
 
 @query("set_boolean", f"select doc_id, n_chars from {_HITS} where ((list_contains(w, 'the') and list_contains(w, 'was')) or list_contains(w, 'der')) and not list_contains(w, 'with') and n_chars > 200")
