@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: longest pattern in bytes
 LONGEST = 31
+#: tokens whose tables are computed together
+TOGETHER = 512
 
 
 def check_pattern(word: str) -> None:
@@ -24,6 +26,18 @@ def as_bytes(c: Column) -> Column:
     return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
 
 
+def may_match(token: Column, word: str, errors: int) -> Column:
+    """Necessary for a match within ``errors`` edits, anchored or not: so many edits leave one of errors + 1 pieces of the word whole."""
+    w = word.encode().decode("latin-1")
+    n = len(w)
+    if n <= errors:
+        return token != ""
+    b = as_bytes(token)
+    cut = [round(i * n / (errors + 1)) for i in range(errors + 2)]
+    pieces = {w[i:j] for i, j in zip(cut, cut[1:])}
+    return (F.length(b) >= n - errors) & reduce(Column.__or__, [b.contains(p) for p in sorted(pieces)])
+
+
 def fuzzy(token: Column, word: str, errors: int) -> Column:
     """Some substring of ``token`` is within ``errors`` edits of ``word``, in built-in expressions.
 
@@ -41,10 +55,7 @@ def fuzzy(token: Column, word: str, errors: int) -> Column:
     near = lambda s: F.exists(
         F.sequence(F.lit(n - errors), F.lit(n + errors)), lambda m: F.levenshtein(F.substring(b, s, m), F.lit(w), errors) >= 0
     )
-    cut = [round(i * n / (errors + 1)) for i in range(errors + 2)]
-    pieces = {w[i:j] for i, j in zip(cut, cut[1:])}
-    holds = reduce(Column.__or__, [b.contains(p) for p in sorted(pieces)])
-    return (F.length(b) >= n - errors) & holds & F.exists(starts, near)
+    return may_match(token, word, errors) & F.exists(starts, near)
 
 
 def anchored_distances(tokens: list[bytes], word: bytes) -> np.ndarray:
@@ -83,7 +94,11 @@ def anchored_fuzzy(token: Column, word: str, errors: int) -> Column:
 
     @F.pandas_udf("boolean")
     def match(t: pd.Series) -> pd.Series:
-        raw = [v.encode() if v is not None else b"" for v in t]
-        return pd.Series(anchored_distances(raw, w) <= errors)
+        # each token of a batch once
+        at, each = pd.factorize(t.fillna(""))
+        near = np.zeros(len(each), bool)
+        for k in range(0, len(each), TOGETHER):
+            near[k : k + TOGETHER] = anchored_distances([v.encode() for v in each[k : k + TOGETHER]], w) <= errors
+        return pd.Series(near[at])
 
     return match(token)

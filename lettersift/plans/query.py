@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettersift.functions.dates import UTC, DateError, date_range
-from lettersift.functions.fuzzy import anchored_fuzzy, check_pattern, fuzzy
+from lettersift.functions.fuzzy import anchored_fuzzy, check_pattern, fuzzy, may_match
 from lettersift.functions.tokens import _LOWER, _UPPER
 
 _LETTERS = {
@@ -177,6 +177,11 @@ def token_condition(w: Word, token: Column) -> Column:
     return fuzzy(token, text, w.errors)
 
 
+def token_may_match(w: Word, token: Column) -> Column:
+    """Holds wherever the condition does, in built-in expressions."""
+    return may_match(token, w.text.translate(_FOLD), w.errors) if w.errors and w.anchored else token_condition(w, token)
+
+
 def _path_condition(w: Word, path: Column) -> Column:
     if w.anchored:
         got = anchored_fuzzy(path, w.text, w.errors or 0)
@@ -193,8 +198,8 @@ def search(
 
     All word conditions are one pass over the postings: rows that meet any of
     them, grouped by message with a flag for each, joined to the messages once
-    however many words, fields and negations there are.  Error-tolerant words
-    are matched on distinct tokens first.  Needs ``path`` in messages only for
+    however many words, fields and negations there are.  Only rows that meet a
+    word are moved.  Needs ``path`` in messages only for
     ``p:`` words.  ``threads`` adds whole threads; dead rows go last, unless
     ``keep_dead``.
     """
@@ -203,23 +208,10 @@ def search(
     held = {w: f"_w{k}" for k, w in enumerate(words) if w.fields and not w.path}
     found = messages
     if held:
-        rows = postings
-        hard = {w for w in held if w.errors}
-        if hard:
-            # the dictionary is matched, not the postings; the few tokens that match come back by join
-            names = {w: f"_t{k}" for k, w in enumerate(hard)}
-            match = postings.select("token").distinct().select("token", *[token_condition(w, F.col("token")).alias(n) for w, n in names.items()])
-            match = match.filter(reduce(Column.__or__, [F.col(n) for n in names.values()]))
-            easy = [w for w in held if w not in hard]
-            if easy:
-                plain = reduce(Column.__or__, [token_condition(w, F.col("token")) for w in easy])
-                rows = rows.join(match, "token", "left").filter(plain | F.coalesce(*[F.col(n) for n in names.values()]).isNotNull())
-            else:
-                rows = rows.join(match, "token")
-        cond = {}
-        for w in held:
-            c = F.coalesce(F.col(names[w]), F.lit(False)) if w in hard else token_condition(w, F.col("token"))
-            cond[w] = F.col("field").isin(*w.fields) & c
+        own_field = {w: F.col("field").isin(*w.fields) for w in held}
+        cond = {w: own_field[w] & token_condition(w, F.col("token")) for w in held}
+        # a row for Python is one that built-in expressions let through
+        rows = postings.filter(reduce(Column.__or__, [own_field[w] & token_may_match(w, F.col("token")) for w in held]))
         rows = rows.filter(reduce(Column.__or__, cond.values()))
         hits = rows.groupBy("msg_id").agg(*[F.max(cond[w]).alias(n) for w, n in held.items()])
         found = found.join(hits, "msg_id", "left")
