@@ -199,7 +199,7 @@ def set_boolean(spark, sf_dir):
 
 @query("set_fields", f"select doc_id, n_chars from {_HITS} where list_contains(w, 'licensed') or len(list_filter(w, lambda x: contains(x, 'apach'))) > 0")
 def set_fields(spark, sf_dir):
-    return _found(spark, sf_dir, "Licensed / apach=")
+    return _found(spark, sf_dir, "Licensed /apach=")
 
 
 @query("set_everything", "select doc_id, n_chars from documents")
