@@ -51,7 +51,8 @@ def update(index: Index, found: DataFrame, read, fast: bool = False) -> Index:
     """Index after the files ``found`` (kind, path, mtime, size); ``read`` turns such rows into PARSED rows.
 
     Only new and changed files are read.  Rows of vanished messages die; ids are
-    only appended; threads are computed again only if something was added.
+    only appended; threads are computed again only if something was added.  The
+    postings are a plan over what was stored and read; who needs them writes them.
     """
     messages = index.messages
     files = found.filter("kind in ('FILE', 'IMAP')").withColumnRenamed("kind", "type")
@@ -84,7 +85,7 @@ def update(index: Index, found: DataFrame, read, fast: bool = False) -> Index:
     names = index.mboxes.select("mbox_id", "path").unionByName(dense_numbers(unknown, "path", "mbox_id", old_ids + 1).select("mbox_id", "path"))
     names = stored(names)
     start = kept.agg(F.coalesce(F.max("msg_id"), F.lit(-1))).first()[0] + 1
-    fresh = stored(dense_numbers(fresh.drop("tid"), ["type", "path", "ordinal"], "msg_id", start))
+    fresh = dense_numbers(fresh.drop("tid"), ["type", "path", "ordinal"], "msg_id", start)
     outer = F.col("headers")[0]
     flag = lambda n: F.coalesce(outer[n], F.lit(False)).alias(n)
     added = fresh.join(names, "path", "left").select(
@@ -93,7 +94,7 @@ def update(index: Index, found: DataFrame, read, fast: bool = False) -> Index:
     )
     rows = kept.unionByName(added)
     posts = index.postings.unionByName(mail_postings(fresh))
-    ids = stored(index.ids.unionByName(id_postings(fresh)))
+    ids = index.ids.unionByName(stored(id_postings(fresh)))
     if not added.isEmpty():
         rows = rows.drop("tid").join(threads(ids, rows), "msg_id", "left").select(*MESSAGES.names)
     rows = stored(rows)
@@ -104,11 +105,11 @@ def update(index: Index, found: DataFrame, read, fast: bool = False) -> Index:
         names.join(boxes.select("path", "mtime", "size"), "path", "left").join(counts, "path", "left")
         .select("mbox_id", F.when(F.col("size").isNotNull(), F.col("path")).alias("path"), F.coalesce("n_msgs", F.lit(0)).cast("long").alias("n_msgs"), "mtime", "size")
     )
-    return Index(rows, stored(mboxes), stored(held_sums.unionByName(new_sums)), stored(posts), ids)
+    return Index(rows, stored(mboxes), stored(held_sums.unionByName(new_sums)), posts, ids)
 
 
 def purge(index: Index) -> Index:
-    """Dead rows and mailboxes go and ids close up; threads keep their numbers."""
+    """Dead rows and mailboxes go and ids close up; threads keep their numbers.  Postings and ids are plans, as in ``update``."""
     alive = index.messages.filter("type <> 'DEAD'")
     numbered = stored(dense_numbers(alive.withColumnRenamed("msg_id", "_old"), "_old", "msg_id"))
     move = numbered.select(F.col("_old").alias("msg_id"), F.col("msg_id").alias("_new"))
@@ -116,5 +117,5 @@ def purge(index: Index) -> Index:
     mboxes = index.mboxes.filter("path is not null")
     return Index(
         numbered.select(*MESSAGES.names), mboxes, index.checksums.join(mboxes.select("mbox_id"), "mbox_id", "left_semi"),
-        stored(moved(index.postings)), stored(moved(index.ids)),
+        moved(index.postings), moved(index.ids),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from lettersift.operators.maintenance import Index
 from lettersift.schemas import CHECKSUMS, FORMAT_VERSION, ID_POSTINGS, MBOXES, MESSAGES, POSTINGS
+from lettersift.session import sql_partitions
 
 _TABLES = {"messages": MESSAGES, "mboxes": MBOXES, "checksums": CHECKSUMS, "postings": POSTINGS, "ids": ID_POSTINGS}
 
@@ -55,7 +56,8 @@ def write_index(spark: SparkSession, index: Index, path: str) -> str:
     for t in _TABLES:
         df = getattr(index, t)
         if t == "postings":
-            df = df.repartitionByRange("field", "token").sortWithinPartitions("field", "token", "msg_id")
+            # by message too: a usual token is many parts
+            df = df.repartitionByRange(sql_partitions(spark), "field", "token", "msg_id").sortWithinPartitions("field", "token", "msg_id")
         df.write.parquet(f"{path}/{name}/{t}")
     fs, P = _fs(spark, path)
     fresh = P(f"{path}/next-{uuid.uuid4().hex}")
