@@ -24,7 +24,7 @@ from lettersift.queries import _DOC_TOKENS, _TOKENS, query, table
 from lettersift.schemas import PARSED
 from lettersift.session import shared_dir, stored
 from lettersift.sources.mailbox import decompress, is_separator
-from lettersift.sources.reader import parse_table
+from lettersift.sources.reader import parse_table, slices
 from lettersift.sources.store import read_index, write_index
 
 T = "coalesce(text, '')"
@@ -34,10 +34,20 @@ SEPARATOR = "From bob Thu Jan  1 00:00:00 2004\n"
 
 def _docs(spark: SparkSession, sf_dir: str, raw: str, path: str | None = None) -> DataFrame:
     """Documents as messages; ``raw``: Spark SQL for the text of each."""
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"cast({raw} as binary) as raw", *([f"{path} as path"] if path else []))
+    return _parsed(table(spark, sf_dir, "documents"), raw, path)
+
+
+def _parsed(docs: DataFrame, raw: str, path: str | None = None) -> DataFrame:
+    rows = docs.selectExpr("doc_id", f"cast({raw} as binary) as raw", *([f"{path} as path"] if path else []))
     return parse_table(rows, "raw", ["doc_id"], "path" if path else None)
 
 
+def _mail_postings(spark: SparkSession, sf_dir: str, raw: str) -> DataFrame:
+    """Postings of documents as messages."""
+    rows = table(spark, sf_dir, "documents")
+    return I.distinct_by_id(lambda some: I.mail_postings(_parsed(some, raw), "doc_id"), rows, "doc_id")
+
+
 def _head(name: str):
     return F.col("headers")[0][name].alias(name)
 
@@ -99,7 +109,7 @@ _ADDRESSED = "select field, doc_id as msg_id, unnest(list_concat(regexp_extract_
     "union all select 'subject', doc_id, 's' from documents union all select 'body', doc_id, 'body' from documents)",
 )
 def tok_mail_addresses(spark, sf_dir):
-    return I.mail_postings(_docs(spark, sf_dir, _FIELDS), "doc_id")
+    return _mail_postings(spark, sf_dir, _FIELDS)
 
 
 @query("prj_encoded_words_b", f"select doc_id, md5({T}) as subject_md5 from documents")
@@ -202,7 +212,7 @@ def prj_checksum(spark, sf_dir):
 )
 def tok_embedded(spark, sf_dir):
     raw = f"concat('Subject: ', source, '\nContent-Type: message/rfc822\n\nSubject: inner ', lang, '\nContent-Type: text/plain\n\n', {T})"
-    return I.mail_postings(_docs(spark, sf_dir, raw), "doc_id")
+    return _mail_postings(spark, sf_dir, raw)
 
 
 _TURN = f"'Subject: turn ' || turn || chr(10) || chr(10) || {T} || chr(10)"
@@ -275,7 +285,7 @@ def src_compressed(spark, sf_dir):
     kinds = ((".GZ", gzip.compress), (".bz2", bz2.compress), (".xz", lzma.compress), ("", bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             out = []
             for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 end, pack = kinds[k % len(kinds)]

@@ -7,6 +7,7 @@ from hashlib import md5
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -18,6 +19,8 @@ from lettersift.sources.imap import Server
 from lettersift.sources.mail import file_flags, parse_message
 from lettersift.sources.mailbox import decompress, split_mailbox
 
+#: bytes of raw mail that a task parses at once
+SLICE = 1 << 20
 _FILES = "kind string, path string, mtime long, size long"
 
 
@@ -90,6 +93,18 @@ def read_mail(files: DataFrame, imap: dict[str, str] | None = None) -> DataFrame
     return files.mapInPandas(run, PARSED)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of ``most`` bytes in that column, or one row: what is made of a part stays small whatever the batch."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for k, n in enumerate(size.tolist()):
+        if k > start and held + n > most:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    yield batch.slice(start)
+
+
 def parse_table(rows: DataFrame, raw: str, keys: list[str], path: str | None = None, mailbox: bool = False) -> DataFrame:
     """Messages that a table holds: ``keys``, and PARSED's columns from ordinal on, for the bytes in ``raw``.
 
@@ -103,7 +118,7 @@ def parse_table(rows: DataFrame, raw: str, keys: list[str], path: str | None = N
     wanted = [*keys, raw, *([path] if path else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, len(keys))):
             at, out = [], []
             data = batch.column(len(keys)).to_pylist()
             paths = batch.column(len(keys) + 1).to_pylist() if path else [""] * len(data)
