@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettersift.functions.tokens import KINDS, address_tokens, fold, html_tokens, id_tokens, word_tokens
+from lettersift.operators import words
 from lettersift.session import sql_partitions, stored
 
 #: message ids of one posting list row; a hot token has many rows
@@ -87,10 +88,9 @@ def id_postings(parsed: DataFrame, id: str = "msg_id") -> DataFrame:
     )
 
 
-def posting_lists(post: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Ascending message ids of each token, a row for each ``block`` of ids, so that no list is without bound."""
-    part = F.floor(F.col("msg_id") / block).alias("block")
-    return post.groupBy("field", "token", part).agg(F.array_sort(F.collect_set("msg_id")).alias("msg_ids"))
+def posting_lists(rows: DataFrame, field: str, text: str, id: str = "msg_id", block: int = BLOCK) -> DataFrame:
+    """Ascending message ids of each word of a text, a row for each ``block`` of ids, so that no list is without bound."""
+    return words.lists(rows, text, id, block).select(F.lit(field).alias("field"), "token", "block", "msg_ids")
 
 
 def _steps(post: DataFrame, block: int = BLOCK) -> DataFrame:

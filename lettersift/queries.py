@@ -84,7 +84,8 @@ def agg_statistics(spark, sf_dir):
 
 @query("agg_posting_lists", f"select 'body' as field, token, msg_id // 65536 as block, array_to_string(list(msg_id order by msg_id), ',') as msg_ids from {_POST} group by token, msg_id // 65536")
 def agg_posting_lists(spark, sf_dir):
-    return I.posting_lists(doc_postings(spark, sf_dir)).withColumn("msg_ids", F.array_join(F.transform("msg_ids", lambda x: x.cast("string")), ","))
+    got = I.posting_lists(table(spark, sf_dir, "documents"), "body", "text", "doc_id")
+    return got.withColumn("msg_ids", F.when(F.col("block").isNotNull(), F.array_join(F.col("msg_ids").cast("array<string>"), ",")))
 
 
 @query("agg_mbox_counts", "select source, count(*) as n_msgs from documents group by source")
