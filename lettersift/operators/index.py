@@ -24,12 +24,18 @@ def distinct_by_id(post: Callable[[DataFrame], DataFrame], rows: DataFrame, id:
     Only what rows of a repeated or null id give is compared, so that others are
     never moved; the ids alone are counted ahead.
     """
+    once, again = by_repeats(rows, id)
+    return post(once) if again is None else post(once).unionByName(post(again).distinct())
+
+
+def by_repeats(rows: DataFrame, id: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose id no other has, and those of a repeated or null id, if any."""
     again = rows.groupBy(F.col(id).alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1 or _again is null").select("_again")
     if again.isEmpty():
-        return post(rows)
+        return rows, None
     again = stored(again)
     same = rows[id].eqNullSafe(again["_again"])
-    return post(rows.join(again, same, "left_anti")).unionByName(post(rows.join(again, same, "left_semi")).distinct())
+    return rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
 
 
 def postings(rows: DataFrame, fields: dict[str, tuple[str, str]], id: str = "msg_id", distinct: bool = True) -> DataFrame:
@@ -124,9 +130,14 @@ def posting_bytes(post: DataFrame) -> DataFrame:
     return _lists(_steps(post)).groupBy("field", "token").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_msgs").alias("n_msgs"))
 
 
-def frequencies(post: DataFrame) -> DataFrame:
-    """Messages of each (field, token)."""
-    return post.groupBy("field", "token").agg(F.count("*").alias("n_msgs"))
+def frequencies(rows: DataFrame, field: str, text: str, id: str = "msg_id") -> DataFrame:
+    """Messages of each word of a text; only words that chunks have counted are moved, and lists of repeated ids."""
+    once, again = by_repeats(rows, id)
+    counts = words.counts(once, text)
+    if again is not None:
+        n = F.when(F.col("block").isNull(), 1).otherwise(F.size("msg_ids")).cast("long")
+        counts = counts.unionByName(words.lists(again, text, id, BLOCK).select("token", n.alias("n")))
+    return counts.groupBy(F.lit(field).alias("field"), "token").agg(F.sum("n").alias("n_msgs"))
 
 
 def _shares(counts: DataFrame) -> DataFrame:
@@ -193,6 +204,6 @@ def violations(messages: DataFrame, post: DataFrame) -> DataFrame:
     return paths.unionByName(twice).unionByName(lost)
 
 
-def top_tokens(post: DataFrame, n: int) -> DataFrame:
-    """The ``n`` tokens in most messages: a top-k report."""
-    return frequencies(post).orderBy(F.desc("n_msgs"), "field", "token").limit(n)
+def top_tokens(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` tokens in most messages, of ``frequencies``: a top-k report."""
+    return counts.orderBy(F.desc("n_msgs"), "field", "token").limit(n)

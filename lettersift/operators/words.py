@@ -1,4 +1,4 @@
-"""Words of texts, listed before they are moved.
+"""Words of texts, counted and listed before they are moved.
 
 All that parts a word is ASCII and all from U+0080 on is kept, so texts are cut
 as bytes: a table of 256 folds letters and makes the rest spaces. Words of a
@@ -74,6 +74,21 @@ def _starts(changed: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], changed]))
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, texts in _chunks(batches):
+        words, codes, rows = _numbered(texts)
+        if len(codes):
+            codes, _ = _pairs(codes, rows, len(texts))
+            starts = _starts(codes[1:] != codes[:-1])
+            counts = np.diff(starts, append=len(codes))
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(codes[starts])), pa.array(counts)], names=["token", "n"])
+
+
+def counts(rows: DataFrame, text: str) -> DataFrame:
+    """(token, n): rows whose text has the word, of each chunk; whoever asks adds them up."""
+    return rows.select(F.col(text).cast("binary").alias("text")).mapInArrow(_count, "token string, n long")
+
+
 def _list(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _chunks(batches):

@@ -60,7 +60,7 @@ def agg_postings(spark, sf_dir):
 
 @query("agg_document_frequency", f"select 'body' as field, token, count(*) as n_msgs from {_POST} group by token")
 def agg_document_frequency(spark, sf_dir):
-    return I.frequencies(doc_postings(spark, sf_dir))
+    return I.frequencies(table(spark, sf_dir, "documents"), "body", "text", "doc_id")
 
 
 _GAPS = f"(select token, msg_id, msg_id - coalesce(lag(msg_id) over (partition by token order by msg_id), 0) as gap from {_POST})"
@@ -309,7 +309,7 @@ def src_globs(spark, sf_dir):
 
 @query("top_tokens", f"select 'body' as field, token, count(*) as n_msgs from {_POST} group by token order by n_msgs desc, token limit 25")
 def top_tokens(spark, sf_dir):
-    return I.top_tokens(doc_postings(spark, sf_dir), 25)
+    return I.top_tokens(I.frequencies(table(spark, sf_dir, "documents"), "body", "text", "doc_id"), 25)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

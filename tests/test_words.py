@@ -1,4 +1,4 @@
-"""Words listed by chunks, against plain Python and their SQL."""
+"""Words counted and listed by chunks, against plain Python and their SQL."""
 
 import random
 import re
@@ -6,8 +6,10 @@ import re
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lettersift import queries as Q
+from lettersift.operators import index as I
 from lettersift.operators import words
 
 TINY = "/root/testdata/sf0.001"
@@ -77,3 +79,33 @@ def test_f15_lists_whatever_the_chunks_and_batches(monkeypatch, seed):
 def test_f15_ids_are_whole_numbers(spark):
     with pytest.raises(TypeError):
         words.lists(spark.createDataFrame([("a", "b")], "id string, text string"), "text", "id", 16)
+
+
+def test_f14_words_are_counted_before_they_are_moved(spark):
+    for name in ("agg_document_frequency", "top_tokens"):
+        assert "Generate" not in plan(Q.queries()[name](spark, TINY))
+
+
+def test_f14_repeated_and_null_ids_count_once(spark, odd):
+    assert same_as_sql(spark, odd, "agg_document_frequency") and same_as_sql(spark, odd, "top_tokens")
+    rows = spark.read.parquet(f"{odd}/documents.parquet")
+    moved = plan(I.frequencies(rows, "body", "text", "doc_id"))
+    assert "Generate" not in moved
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_f14_counts_whatever_the_chunks(monkeypatch, seed):
+    monkeypatch.setattr(words, "CHUNK", random.Random(seed).choice([1, 500, 10**6]))
+    rows, got, want = some_rows(seed), {}, {}
+    for b in words._count(batches(rows, 7)):
+        for r in b.to_pylist():
+            got[r["token"]] = got.get(r["token"], 0) + r["n"]
+    for _, text in rows:
+        for t in tokens(text):
+            want[t] = want.get(t, 0) + 1
+    assert got == want
+
+
+def test_f14_bytes_that_are_no_text(spark):
+    rows = spark.range(1).select("id", F.expr("cast(X'61FF20C328204142' as string)").alias("text"))
+    assert sorted(tuple(r) for r in I.frequencies(rows, "f", "text", "id").collect()) == [("f", "ab", 1), ("f", "a�", 1), ("f", "�", 1)]
